@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmill.llm import confusables, formatting, mixing, splits, tokenizer
+from glossmill.llm import confusables, consensus, formatting, mixing, reading, splits, tokenizer
 from glossmill.session import table
 
 
@@ -33,6 +33,26 @@ def p3_collisions(spark: SparkSession, d: str) -> DataFrame:
     return formatting.collisions(formatting.canonical(table(spark, d, "deepseek_labels"), "row_id", "text_cree", "text_en"))
 
 
+def _log_and_gold(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return table(spark, d, "silver_verification_cache"), table(spark, d, "bloomfield_annotated")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.disputed(*_log_and_gold(spark, d))
+
+
+def p4_consensus(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.consensus(*_log_and_gold(spark, d))
+
+
+def p4_annotators(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.reliability(*_log_and_gold(spark, d))
+
+
+def p4_agreement(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.agreement(*_log_and_gold(spark, d))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return confusables.lookalikes(table(spark, d, "bloomfield_texts_sentences"))
 
@@ -63,8 +83,13 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.report(*_mix(spark, d))
 
 
+def p10_levels(spark: SparkSession, d: str) -> DataFrame:
+    return reading.levels(table(spark, d, "documents"), table(spark, d, "reading_labels"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_levels(spark, d).filter(F.col("english") & (F.col("grade") == reading.GRADES)).select("doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        f.__name__: f
-        for f in (p1_found, p1_splits, p3_found, p3_collapsed, p3_collisions, p6_found, p6_forms, p8_ids, p8_decoded, p9_mix, p9_shares)
-    }
+    return {n: f for n, f in globals().items() if n.startswith("p") and n[1].isdigit()}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmill.llm import confusables, consensus, formatting, mixing, reading, splits, tokenizer
+from glossmill.llm import confusables, consensus, formatting, mixing, overlap, reading, splits, tokenizer
 from glossmill.session import table
 
 
@@ -21,6 +21,14 @@ def p1_splits(spark: SparkSession, d: str) -> DataFrame:
     return splits.assign(rows, label=script)
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.cross_split(table(spark, d, "bloomfield_annotated"), table(spark, d, "deepseek_labels"))
+
+
+def p2_counts(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.counts(table(spark, d, "bloomfield_annotated"), table(spark, d, "deepseek_labels"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return formatting.members(table(spark, d, "deepseek_labels"))
 

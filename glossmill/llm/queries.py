@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmill.llm import confusables, consensus, formatting, mixing, overlap, reading, splits, tokenizer
+from glossmill.llm import confusables, consensus, formatting, mixing, overlap, reading, sentences, splits, tokenizer
 from glossmill.session import table
 
 
@@ -61,6 +61,10 @@ def p4_agreement(spark: SparkSession, d: str) -> DataFrame:
     return consensus.agreement(*_log_and_gold(spark, d))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentences(table(spark, d, "bloomfield_texts"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return confusables.lookalikes(table(spark, d, "bloomfield_texts_sentences"))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmill.llm import confusables, consensus, formatting, mixing, overlap, reading, sentences, splits, tokenizer
+from glossmill.llm import alignment, confusables, consensus, formatting, mixing, overlap, reading, sentences, splits, tokenizer
 from glossmill.session import table
 
 
@@ -73,6 +73,10 @@ def p6_forms(spark: SparkSession, d: str) -> DataFrame:
     return confusables.normalized(table(spark, d, "bloomfield_texts_sentences")).select("row_id", "form")
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return alignment.misaligned(table(spark, d, "bloomfield_texts_sentences"), table(spark, d, "dictionary"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.encode(table(spark, d, "documents"))
 

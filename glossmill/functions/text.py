@@ -120,7 +120,7 @@ def real_paragraph(x: Column, ratio: float = 0.40, least: int = 5) -> Column:
 
 
 def _ascii_words(x: Column) -> Column:
-    return F.regexp_extract_all(F.lower(x), F.lit(r"(?U)(?<!\w)([a-z]+)(?!\w)"), F.lit(1))
+    return F.regexp_extract_all(F.lower(x), F.lit(r"(?<![\p{L}\p{N}_])([a-z]+)(?![\p{L}\p{N}_])"), F.lit(1))
 
 
 def _listed(found: Column, listed: list[str]) -> Column:

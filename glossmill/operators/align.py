@@ -50,7 +50,6 @@ def align_lists(src: list[str], tgt: list[str]) -> list[tuple[str, str, float]]:
     return path[::-1]
 
 
-@F.udf(_OUT, useArrow=True)
 def _aligned(src, tgt):
     return [{"src": s, "tgt": t, "conf": c} for s, t, c in align_lists(list(src), list(tgt))]
 
@@ -72,7 +71,7 @@ def split_and_align(rows: DataFrame, key: str, left: str, right: str, least: int
         return F.struct(x["s"].alias("src"), x["t"].alias("tgt"), X.round_at(1 - F.abs(s - t) / F.greatest(s, t, F.lit(1e-9)), 3).alias("conf"))
 
     direct = equal.select(key, F.transform(F.arrays_zip("s", "t"), score).alias("p"))
-    others = base.filter(F.size("s") != F.size("t")).select(key, _aligned("s", "t").alias("p"))
+    others = base.filter(F.size("s") != F.size("t")).select(key, F.udf(_aligned, _OUT, useArrow=True)("s", "t").alias("p"))
     pairs = direct.unionByName(others).select(key, F.posexplode("p").alias("sentence_id", "p")).select(key, F.col("sentence_id").cast("bigint").alias("sentence_id"), "p.src", "p.tgt", "p.conf")
     return pairs.filter((F.length("src") >= least) & (F.length("tgt") >= least))
 

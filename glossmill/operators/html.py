@@ -70,9 +70,8 @@ class _Visible(HTMLParser):
             self.pieces.append(data.strip())
 
 
-@F.udf("string", useArrow=True)
-def visible_text(html):
-    """Text of a fragment without an opening <strong> and any <sup>, entities decoded, pieces joined by blanks; NULL stays NULL."""
+def _visible(html):
+    """Text of a fragment without an opening <strong> and any <sup>, entities decoded, pieces joined by blanks; NULL stays NULL."""
     if html is None:
         return None
     parser = _Visible()
@@ -111,9 +110,8 @@ class _Entries(HTMLParser):
             self.found[-1][self.field] += data
 
 
-@F.udf("array<struct<lemma:string,pos:string,pos_label:string,definitions:array<string>>>", useArrow=True)
-def dictionary_entries(html):
-    """Entries with a lemma and at least one definition; NULL gives none."""
+def _entries(html):
+    """Entries with a lemma and at least one definition; NULL gives none."""
     if html is None:
         return []
     parser = _Entries()
@@ -121,3 +119,13 @@ def dictionary_entries(html):
     tidy = lambda s: " ".join(s.split())
     rows = [{k: [d for d in map(tidy, v) if d] if k == "definitions" else tidy(v) for k, v in e.items()} for e in parser.found]
     return [r for r in rows if r["lemma"] and r["definitions"]]
+
+
+def visible_text(html: Column | str) -> Column:
+    """H04 as a column."""
+    return F.udf(_visible, "string", useArrow=True)(html)
+
+
+def dictionary_entries(html: Column | str) -> Column:
+    """H06 as a column."""
+    return F.udf(_entries, "array<struct<lemma:string,pos:string,pos_label:string,definitions:array<string>>>", useArrow=True)(html)

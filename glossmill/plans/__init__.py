@@ -1 +1,4 @@
-"""plans of the engine."""
+"""Query catalogue of the engine."""
+
+from glossmill.plans import text_queries  # noqa: F401
+from glossmill.plans.registry import QUERIES, SQL  # noqa: F401

@@ -11,15 +11,26 @@ from pyspark.sql.window import Window
 from glossmill.functions import text as X
 
 
-def first_wins(df: DataFrame, keys: list[str] | list[Column], order: list) -> DataFrame:
-    """The first row of each key by ``order``; NULL keys are one key. Only ids and keys need to be sorted, per key."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("gm_rn", F.row_number().over(w)).filter(F.col("gm_rn") == 1).drop("gm_rn")
+def _one_per_key(df: DataFrame, keys: list[str], order: list[str], pick) -> DataFrame:
+    rest = [c for c in df.columns if c not in keys]
+    if not rest:
+        return df.select(*keys).distinct()
+    best = df.groupBy(*keys).agg(pick(F.struct(*rest), F.struct(*order)).alias("gm_row"))
+    return best.select(*(c if c in keys else F.col(f"gm_row.{c}").alias(c) for c in df.columns))
+
+
+def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The first row of each key by ``order``, NULLs first; NULL keys are one key.
+
+    An aggregate and not a window, so each partition sends at most one row per key and a key with
+    very many rows does not meet in one task.
+    """
+    return _one_per_key(df, keys, order, F.min_by)
 
 
 def last_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The last row of each key."""
-    return first_wins(df, keys, [F.col(c).desc_nulls_last() for c in order])
+    """The last row of each key by ``order``, NULLs first."""
+    return _one_per_key(df, keys, order, F.max_by)
 
 
 def load_pool(pool: DataFrame, exclude_source: str | None = None, limit: int | None = None, order: str = "row_id") -> DataFrame:

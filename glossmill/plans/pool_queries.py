@@ -160,12 +160,12 @@ def positional_default(spark, d):
     return rows.select("row_id", F.coalesce("label", F.lit("literal")).alias("label"), F.coalesce("footnote_applies", F.lit(False)).alias("footnote_applies"), F.coalesce("rationale", F.lit("")).alias("rationale"))
 
 
-_LAST = f"(SELECT paragraph_id, sentence_id, {R.strict('human_label')} AS human, {R.strict('deepseek_label')} AS model, row_number() OVER (PARTITION BY paragraph_id, sentence_id ORDER BY reviewed_at DESC, annotator DESC) AS k FROM {C} WHERE human_label IS NOT NULL)"
+_LAST = f"(SELECT paragraph_id, sentence_id, {R.strict('human_label')} AS human, {R.strict('deepseek_label')} AS model, row_number() OVER (PARTITION BY paragraph_id, sentence_id ORDER BY reviewed_at DESC NULLS LAST, annotator DESC NULLS LAST, human_label DESC, deepseek_label DESC NULLS LAST) AS k FROM {C} WHERE human_label IS NOT NULL)"
 
 
 def last_review(spark, d):
     log = rows_of(spark, d, C, "paragraph_id", "sentence_id", "annotator", "reviewed_at", "human_label", "deepseek_label").filter(F.col("human_label").isNotNull())
-    last = pool.last_wins(log, ["paragraph_id", "sentence_id"], ["reviewed_at", "annotator"])
+    last = pool.last_wins(log, ["paragraph_id", "sentence_id"], ["reviewed_at", "annotator", "human_label", "deepseek_label"])
     return last.select("paragraph_id", "sentence_id", L.strict(F.col("human_label")).alias("human"), L.strict(F.col("deepseek_label")).alias("model"))
 
 

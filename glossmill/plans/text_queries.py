@@ -142,11 +142,11 @@ def agree_flag(spark, d):
     return table(spark, d, "silver_verification_cache").select("paragraph_id", "sentence_id", "annotator", "reviewed_at", (F.col("human_label") == F.col("deepseek_label")).alias("agree"))
 
 
-@query(f"SELECT row_id, CASE WHEN text_en IS NULL THEN 'no English text' END AS error, CASE WHEN text_en IS NOT NULL THEN length(text_en) END::BIGINT AS chars FROM {S} WHERE text_cree IS NOT NULL")
+@query(f"SELECT row_id, CASE WHEN text_en IS NULL THEN 'no English text' END AS error, CASE WHEN text_en IS NOT NULL THEN length(text_en) END::DOUBLE AS chars FROM {S} WHERE text_cree IS NOT NULL")
 def error_rows(spark, d):
     rows = pool_of(spark, d).filter(F.col("text_cree").isNotNull())
     bad = F.col("text_en").isNull()
-    return rows.select("row_id", F.when(bad, "no English text").alias("error"), F.when(~bad, F.length("text_en")).cast("bigint").alias("chars"))
+    return rows.select("row_id", F.when(bad, "no English text").alias("error"), F.when(~bad, F.length("text_en")).cast("double").alias("chars"))
 
 
 @query("SELECT row_id FROM deepseek_labels WHERE deepseek_label IS NULL OR reasoning IS NULL")
@@ -453,10 +453,10 @@ def block_switch_index(spark, d):
     return parse.switch_index(rows, "source", "doc_id", "e")
 
 
-@query(f"SELECT doc_id, line_no::BIGINT AS line_no, lead(line_no) OVER (PARTITION BY doc_id ORDER BY line_no)::BIGINT AS end_line FROM {_L0} WHERE ends_with(line, '?')")
+@query(f"SELECT doc_id, line_no::BIGINT AS line_no, coalesce(lead(line_no) OVER (PARTITION BY doc_id ORDER BY line_no), -1)::BIGINT AS end_line FROM {_L0} WHERE ends_with(line, '?')")
 def story_spans(spark, d):
     lines = parse.lines_of(table(spark, d, D), "doc_id", "text").filter(F.col("line").endswith("?"))
-    return parse.spans(lines, "doc_id").select("doc_id", F.col("line_no").cast("bigint").alias("line_no"), F.col("end_line").cast("bigint").alias("end_line"))
+    return parse.spans(lines, "doc_id").select("doc_id", F.col("line_no").cast("bigint").alias("line_no"), F.coalesce("end_line", F.lit(-1)).cast("bigint").alias("end_line"))
 
 
 @query()

@@ -20,8 +20,8 @@ def gold_ranks(sources: DataFrame, targets: DataFrame) -> DataFrame:
     are summed by query: no pair of single rows is ever made. Ids without a target of their own, and
     NULL vectors, are left out.
     """
-    t = targets.filter(F.col("v").isNotNull()).select("id", "v")
-    s = sources.filter(F.col("v").isNotNull()).select("id", "v")
+    t = targets.filter(F.col("v").isNotNull()).select(F.col("id").cast("bigint").alias("id"), "v")
+    s = sources.filter(F.col("v").isNotNull()).select(F.col("id").cast("bigint").alias("id"), "v")
     own = written(s.join(t.select("id", F.col("v").alias("own")), "id"))
 
     def packed(df: DataFrame, cols: list[str], name: str) -> DataFrame:

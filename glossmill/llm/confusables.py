@@ -102,7 +102,7 @@ def consistent(text: str | None) -> str | None:
         return text
     text = unicodedata.normalize("NFD", text)
     if any("᐀" <= c <= "ᙿ" for c in text):
-        text = re.sub(r"(?<=[᐀-ᙿ])[·•∙⋅・ᕽ×]|[·•∙⋅・](?=[᐀-ᙿ])", lambda m: SYLLABIC[m[0]], text)
+        text = re.sub(r"(?<=[᐀-ᙿ])[·•∙⋅・ᕽ×]+|[·•∙⋅・]+(?=[᐀-ᙿ])", lambda m: "".join(SYLLABIC[c] for c in m[0]), text)
     if any(c in _LATIN for c in text):
         home = _home(text)
         text = re.sub(r"(?:[^\W\d_][\u0300-\u036f]*)+", lambda m: _resolve(m[0], home), text)

@@ -29,7 +29,7 @@ FUNCTION_WORDS = frozenset(
 _WORDS = r"(?U)\p{L}[\p{L}\p{M}'’]*"
 # Endings that carry no syllable of their own, and vowel pairs that carry two.
 _SILENT = re.compile(r"(?:[^laeiouy]e|[^aeiouytd]ed|[^aeiouyszxcg]es)$")
-_TWO = re.compile(r"ia|io(?!n|us)|eo|iu|ua(?!r)|uou|ying|ism$")
+_TWO = re.compile(r"ia|io(?!n|us)|eo|iu|ua(?!r)|uou|ying|eing|ism$")
 _VOWELS = re.compile(r"[aeiouy]+")
 
 

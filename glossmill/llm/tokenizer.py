@@ -131,19 +131,34 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     return whole.select("gm_docs", "gm_counts", "gm_codes", "gm_wide", "gm_pieces").mapInArrow(_assembler(only_counts), schema)
 
 
-def token_bytes(spark, path: str = DEFAULT_PATH) -> DataFrame:
-    """Token-byte table (``id``, ``piece`` binary); its size is fixed by the vocabulary."""
+@lru_cache(maxsize=4)
+def _token_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Token-byte table: all bytes, and where each id's bytes start and how many they are; its size is fixed by the vocabulary."""
     with open(path, "rb") as f:
-        rows = [(int(b), bytearray(base64.b64decode(a))) for a, b in (line.split() for line in f if line.strip())]
-    return spark.createDataFrame(rows, "id int, piece binary")
+        pieces = {int(b): base64.b64decode(a) for a, b in (line.split() for line in f if line.strip())}
+    size = np.array([len(pieces.get(i, b"")) for i in range(max(pieces) + 1)], np.int64)
+    blob = np.frombuffer(b"".join(pieces.get(i, b"") for i in range(len(size))), np.uint8)
+    return blob, np.cumsum(size) - size, size
 
 
-def decode(encoded: DataFrame, path: str = DEFAULT_PATH) -> DataFrame:
-    """Texts of encoded documents, by joining the token-byte table (bounded by the vocabulary, so broadcast).
+def _decoder(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blob, start, size = _token_bytes(path)
+        for batch in batches:
+            lists = batch.column(1)
+            ids = np.asarray(lists.flatten())
+            n = np.asarray(lists.value_lengths().fill_null(0)).astype(np.int64)
+            length = size[ids]
+            after = np.concatenate([[0], np.cumsum(length)])
+            data = blob[np.repeat(start[ids] - after[:-1], length) + np.arange(after[-1])]
+            ends = after[np.concatenate([[0], np.cumsum(n)])]
+            raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())])
+            yield pa.RecordBatch.from_arrays([batch.column(0), raw.cast(pa.binary())], names=["doc_id", "raw"])
 
-    Returns ``doc_id`` and ``text``; empty id lists give the empty text.
-    """
-    tokens = encoded.select("doc_id", F.posexplode_outer("ids").alias("gm_at", "id"))
-    joined = tokens.join(F.broadcast(token_bytes(encoded.sparkSession, path)), "id", "left")
-    parts = joined.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("gm_at", F.hex("piece").alias("h")))).alias("p"))
-    return parts.select("doc_id", F.decode(F.unhex(F.array_join(F.col("p.h"), "")), "UTF-8").alias("text"))
+    return run
+
+
+def decode(encoded: DataFrame, path: str = DEFAULT_PATH) -> DataFrame:
+    """(doc_id, text) of encoded documents, by looking every id up in the token-byte table; empty id lists give the empty text."""
+    raw = encoded.select("doc_id", "ids").mapInArrow(_decoder(path), "doc_id bigint, raw binary")
+    return raw.select("doc_id", F.decode("raw", "UTF-8").alias("text"))

@@ -464,3 +464,18 @@ def flagship(spark, d):
     labels = pool.first_wins(rows_of(spark, d, G, "row_id", "paragraph_id", "sentence_id", "label").filter(F.col("label").isNotNull()), ["paragraph_id", "sentence_id"], ["row_id"])
     joined = sents.join(labels.select("paragraph_id", "sentence_id", L.strict(F.col("label")).alias("label")), ["paragraph_id", "sentence_id"], "left")
     return joined.groupBy(F.coalesce("label", F.lit("none")).alias("label")).agg(F.count("*").alias("sentences"))
+
+
+@query(f"""WITH v AS (SELECT 'tokens' AS part, CAST(l_orderkey AS VARCHAR) AS key, CASE WHEN sum((l_returnflag = 'R')::INTEGER) >= 2 THEN 'metaphor' ELSE 'literal' END AS label FROM lineitem GROUP BY l_orderkey
+UNION ALL SELECT 'pairs', row_id || ' figure', deepseek_label FROM {V} WHERE deepseek_label IS NOT NULL UNION ALL SELECT 'pairs', row_id || ' literal', 'literal' FROM {V} WHERE deepseek_label IS NOT NULL),
+c AS (SELECT label, key, part, row_number() OVER (PARTITION BY label ORDER BY {R.draw("part || ' ' || key")}, part || ' ' || key) AS rn FROM v)
+SELECT part, key, label FROM c WHERE label <> 'literal' OR rn <= 3 * (SELECT count(*) FROM v WHERE label = 'metaphor')""")
+def teacher_dataset(spark, d):
+    tokens = token_to_sentence_label(spark, d).select(F.lit("tokens").alias("part"), F.col("l_orderkey").cast("string").alias("key"), "label")
+    silver = rows_of(spark, d, V, "row_id", "deepseek_label").filter(F.col("deepseek_label").isNotNull())
+    halves = F.explode(F.array(F.struct(F.lit("figure").alias("h"), F.col("deepseek_label").alias("label")), F.struct(F.lit("literal").alias("h"), F.lit("literal").alias("label"))))
+    pairs = silver.select("row_id", halves.alias("x")).select(F.lit("pairs").alias("part"), F.concat(F.col("row_id").cast("string"), F.lit(" "), "x.h").alias("key"), "x.label")
+    both = tokens.unionByName(pairs).withColumn("id", F.concat_ws(" ", "part", "key"))
+    most = both.filter(F.col("label") == "metaphor").agg((F.count("*") * 3).alias("most"))
+    literal = sample.ranked(both.filter(F.col("label") == "literal"), "id", 42).join(F.broadcast(most)).filter(F.col("rn") <= F.col("most"))
+    return both.filter(F.col("label") != "literal").unionByName(literal.select(*both.columns)).select("part", "key", "label")

@@ -463,3 +463,12 @@ def story_spans(spark, d):
 def facing_pages(spark, d):
     rows = table(spark, d, D).filter(F.col("lang") == "oj").select("doc_id", F.concat(F.lit("1. THE FIRST STORY\n\n"), F.regexp_replace("text", r"\n", "\n\n"), F.lit("\n\nThe man said that he had told them what was there then.\n\n")).alias("text"))
     return parse.facing_pages(rows, "doc_id", "text")
+
+
+@query()
+def story_pairs(spark, d):
+    rows = table(spark, d, P).dropna(subset=["source_file", "text_cree", "text_en"])
+    side = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_id", c))), lambda x: F.regexp_replace(x[c], r"\s+", " ")), "\n\n")
+    docs = rows.groupBy("source_file").agg(F.concat(F.lit("Contents\n(2) Story\nTEXTS AND TRANSLATIONS\n(1) A Story\n\n"), side("text_cree"), F.lit("\n\n"), side("text_en")).alias("text"))
+    found = parse.stories(docs, "source_file", "text")
+    return align.paragraph_pairs(found.withColumn("story", F.concat_ws(" ", "source_file", F.col("num").cast("string"))), "story", "cree", "en")

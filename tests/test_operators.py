@@ -213,3 +213,11 @@ def test_attach_with_a_hot_key(spark):
     df = spark.createDataFrame([(i, "hot" if i % 3 == 0 else f"k{i % 50}") for i in range(3000)] + [(9999, None)], "id int, key string")
     groups = df.groupBy("key").agg(F.count("*").alias("n"))
     assert skew.attach(df, groups, ["key"], "n").count() == 3000
+
+
+def test_stories(spark):
+    cree = "Êkwa kisêyiniw kî-pê-itohtêw ôta mîna."
+    en = "And then the old man came to this place and said it to them all."
+    text = f"(3) Contents\nTEXTS AND TRANSLATIONS\n(1) First Story\n\n12\n\n{cree}\n* note\n\n{cree}\n\n{en}\n\n{en}\n\n(1) Not Again\n\n(2) Second Story\n\n{cree}\n"
+    got = {r["num"]: (len(r["cree"]), len(r["en"])) for r in parse.stories(spark.createDataFrame([(1, text), (2, None)], "k int, t string"), "k", "t").collect()}
+    assert got == {1: (2, 2), 2: (1, 0)}

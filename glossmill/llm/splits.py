@@ -11,9 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from glossmill.operators.skew import attach
 from glossmill.session import cut, written
 
 BLANK = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+"
+MAX_LABELS = 100  # strata; more raise an error
 LARGE = 1000  # groups above 1/LARGE of all rows are placed one by one; there are no more than LARGE
 
 
@@ -106,7 +108,9 @@ def assign(rows: DataFrame, id_col: str = "row_id", label: Column | None = None,
     spark = rows.sparkSession
     given = written(grouped(rows, id_col, F.lit("all") if label is None else label))
     counts = cut(given.groupBy("grp", "label").agg(F.count("*").alias("n")))
-    totals = {r["label"]: r["n"] for r in counts.groupBy("label").agg(F.sum("n").alias("n")).limit(LARGE).collect()}
+    totals = {r["label"]: r["n"] for r in counts.groupBy("label").agg(F.sum("n").alias("n")).limit(MAX_LABELS + 1).collect()}
+    if len(totals) > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} labels")
     whole = sum(totals.values())
     sizes = counts.groupBy("grp").agg(F.sum("n").alias("rows"), F.max_by("label", F.struct("n", "label")).alias("main"))
     large = sizes.filter(F.col("rows") * LARGE >= whole).join(counts, "grp").groupBy("grp").agg(F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("m")).collect()
@@ -132,6 +136,4 @@ def assign(rows: DataFrame, id_col: str = "row_id", label: Column | None = None,
     ranked = small.join(F.broadcast(buckets.select("main", "h", share.alias("x"))), ["main", "h"])
     chosen = ranked.join(F.broadcast(cuts), "main").filter((F.col("x") >= F.col("low")) & (F.col("x") < F.col("high"))).select("grp", "split")
     splits = sizes.select("grp", "rows").join(chosen.unionByName(fixed), "grp")
-    from glossmill.operators.skew import attach
-
     return attach(given, splits, ["grp"], "rows").select("row_id", "grp", "split")

@@ -300,9 +300,6 @@ def prompt_render(spark, d):
     return rows.select("token", F.concat("token", F.lit(" ["), F.get("entries", F.lit(0))["pos"], F.lit("]: "), entry_lines(F.col("entries"))).alias("line"))
 
 
-_RAW = """'noise {"sentence_num": ' || sentence_id || ', "label": "' || label || '"} and {"sentence_num": 99, "label": "idiom"} tail'"""
-
-
 @query("SELECT row_id, [sentence_id, 99][k]::INTEGER AS sentence_num, [label, 'idiom'][k] AS label FROM bloomfield_annotated, (SELECT unnest([1, 2]) AS k) WHERE label IS NOT NULL AND sentence_id IS NOT NULL")
 def json_salvage(spark, d):
     rows = table(spark, d, "bloomfield_annotated").dropna(subset=["label", "sentence_id"])

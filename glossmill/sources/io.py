@@ -47,9 +47,8 @@ def write_pairs(df: DataFrame, path: str, src: str, tgt: str, mode: str = "overw
 
 
 def read_log(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """JSON lines of a known schema; blank and broken lines are dropped; file order is kept as gm_file, gm_line only where the log carries it."""
-    df = spark.read.schema(SCHEMAS[kind]).option("mode", "DROPMALFORMED").json(path)
-    return df
+    """JSON lines of a known schema; blank and broken lines are dropped. An order must be a column of the log, as files have none."""
+    return spark.read.schema(SCHEMAS[kind]).option("mode", "DROPMALFORMED").json(path)
 
 
 def append_log(df: DataFrame, path: str) -> None:
@@ -67,6 +66,11 @@ def read_whole(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
 
+def write_by(df: DataFrame, path: str, column: str = "model") -> None:
+    """One folder per value, such as the slug of a model; other values stay."""
+    df.write.mode("append").partitionBy(column).parquet(path)
+
+
 def overwrite(df: DataFrame, path: str) -> None:
     """Overwrite a table, also one that ``df`` reads: the result is staged in the shared folder first."""
     written(df).write.mode("overwrite").parquet(path)

@@ -58,9 +58,10 @@ def sentences_restored(x: Column) -> Column:
     return F.transform(nonempty(bare), lambda p: F.when(F.right(p, F.lit(1)).isin(".", "?", "!"), p).otherwise(F.concat(p, F.lit("."))))
 
 
-NOISE_LINE = (
-    r"(?U)^\s*\d{1,4}\s*$|^\s*\*\s*|^\s*\d+\s+|^\s*[Ww]ord\s|^\s*[Oo]r\s+read|^\s*[Pp]robably\s|^\s*[Tt]ranslation\s|^\s*[Cc][Ff]\.|^\s*[Ii]\.e\."
-)
+# Starts of page-number and note lines, and running headers anywhere in a line.
+NOTE_STARTS = r"(?U)^\s*\d{1,4}\s*$|^\s*\*\s*|^\s*\d+\s+|^\s*[Ww]ord\s|^\s*[Oo]r\s+read|^\s*[Pp]robably\s|^\s*[Tt]ranslation\s|^\s*[Cc][Ff]\.|^\s*[Ii]\.e\."
+RUNNING_HEADERS = r"(?i:sacred\s+stories|sweet\s+grass\s+cree|national\s+museum|department\s+of\s+mines|anthropological\s+ser)"
+NOISE_LINE = f"{NOTE_STARTS}|{RUNNING_HEADERS}"
 
 
 def paragraphs(x: Column) -> Column:
@@ -143,6 +144,7 @@ def english_paragraph(x: Column) -> Column:
 
 def clean_example(cree: Column, en: Column, least: int = 5) -> Column:
     """The ten rules by which lines of a grammar book are no example sentences."""
+    # The patterns of the rules.
     return (
         (F.length(cree) >= least)
         & cree.rlike(f"[{MACRONS}]")

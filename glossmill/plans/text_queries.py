@@ -197,7 +197,7 @@ def sentence_split_v3(spark, d):
 
 
 _NOISE = (
-    f"regexp_matches(ln, '^{R.WS}*\\d{{1,4}}{R.WS}*$|^{R.WS}*\\*{R.WS}*|^{R.WS}*\\d+{R.WS}+|^{R.WS}*[Ww]ord{R.WS}|^{R.WS}*[Oo]r{R.WS}+read|^{R.WS}*[Pp]robably{R.WS}|^{R.WS}*[Tt]ranslation{R.WS}|^{R.WS}*[Cc][Ff]\\.|^{R.WS}*[Ii]\\.e\\.')"
+    f"regexp_matches(ln, '^{R.WS}*\\d{{1,4}}{R.WS}*$|^{R.WS}*\\*{R.WS}*|^{R.WS}*\\d+{R.WS}+|^{R.WS}*[Ww]ord{R.WS}|^{R.WS}*[Oo]r{R.WS}+read|^{R.WS}*[Pp]robably{R.WS}|^{R.WS}*[Tt]ranslation{R.WS}|^{R.WS}*[Cc][Ff]\\.|^{R.WS}*[Ii]\\.e\\.|(?i:sacred\\s+stories|sweet\\s+grass\\s+cree|national\\s+museum|department\\s+of\\s+mines|anthropological\\s+ser)')"
 )
 
 

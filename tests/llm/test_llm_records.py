@@ -241,3 +241,22 @@ def test_mix_of_nothing(spark):
     sized = spark.createDataFrame([], "doc_id bigint, source string, n_tokens bigint, weight double")
     chosen, plan = mixing.mix(sized, spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int"))
     assert chosen.count() == 0 and mixing.report(chosen, plan).collect()[0]["mix_tokens"] == 0
+
+
+def test_overlaps_without_a_common_word(spark):
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choice("aeiokmnpstwy") for _ in range(rng.randint(5, 9))) for _ in range(300)]
+    gold = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 14)))) for i in range(60)] + [(90, "a"), (91, "ab"), (92, "maskwa")]
+    silver = []
+    for k, (_, t) in enumerate(gold):
+        letters = t.replace(" ", "")
+        silver.append((1000 + k, letters if k % 2 else " ".join(letters[i : i + 3] for i in range(0, len(letters), 3))))
+        silver.append((2000 + k, " ".join(w[:j] + rng.choice("zqx") + w[j + 1 :] for w in t.split() for j in [rng.randrange(len(w))])))
+        edited = list(letters)
+        for i in sorted(rng.sample(range(len(edited)), len(edited) * 15 // 100), reverse=True):
+            edited[i : i + 1] = rng.choice([[], ["z"], [edited[i], "z"]])
+        silver.append((3000 + k, "".join(edited)))
+    g, s = (spark.createDataFrame(x, "row_id bigint, text_cree string") for x in (gold, silver))
+    expected = sorted((i, j) for i, a in gold for j, b in silver if 100 * distance(x := fold(a), y := fold(b)) <= 15 * max(len(x), len(y)))
+    assert len(expected) > 100
+    assert rows(overlap.cross_split(g, s)) == expected

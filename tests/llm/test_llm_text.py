@@ -123,6 +123,19 @@ def test_very_long_paragraph_goes_in_windows(spark):
     assert len(got & wanted) >= 0.97 * len(wanted)
 
 
+def test_distant_partners_in_a_very_long_paragraph(spark):
+    c, e = list(WORDS), list(WORDS.values())
+    n = 1100
+    line = lambda i: (f"{c[i % 8]} {c[i // 8 % 8]} {i}.", f"The {e[i % 8]} and the {e[i // 8 % 8]} {i}.")
+    data = [(i, 1, i, line(i)[0], line((i + 400) % n)[1], "s", 0) for i in range(n)]
+    data += [(n + i, 2, i, line(i)[0], line((i + 3) % 9)[1] if i != 4 else None, "s", 0) for i in range(9)]
+    df = spark.createDataFrame(data, SENTENCES)
+    got = {tuple(r) for r in alignment.misaligned(df, dictionary(spark)).collect()}
+    wanted = {(1, (i + 400) % n, i) for i in range(n)}
+    assert len(got & wanted) >= 0.97 * n and len({x for x in got if x[0] == 1} - wanted) <= 0.03 * n
+    assert {(2, (i + 3) % 9, i) for i in range(9) if i != 4} == {x for x in got if x[0] == 2}
+
+
 def test_transport_moves_all_mass_of_a_clear_match():
     import numpy as np
 

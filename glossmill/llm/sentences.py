@@ -20,9 +20,9 @@ from glossmill.session import cut, written
 NEVER_END = frozenset("Mr Mrs Ms Dr Rev St Capt Prof Fr Sr Col Gen Lt Sgt Hon ca cf vol ch p pp No fig e.g i.e vs Jan Feb Mar Apr Aug Sept Oct Nov Dec".split())
 MAY_END = frozenset("etc a.m p.m Jr Inc Co Ltd".split())
 ENOUGH = 3  # occurrences with a full stop from which a document, or the corpus, decides for itself
+CHANCE = 1e-5  # greatest chance, at the corpus's share of full stops, of a document's stops that make an abbreviation
 SHARE = 0.05  # of the occurrences may go against a decision
-MAX_TABLE = 100_000  # document decisions up to this number are broadcast, beyond it they are joined by shuffle
-LETTERS = 5  # longest token tested for an abbreviation
+MAX_TABLE = 100_000  # decisions and reporting words up to this number are broadcast, beyond it they are joined by shuffle
 
 TERMINATORS = ".!?…᙮。！？।॥։؟۔።፧"
 _OPEN = {"«": "»", "“": "”", "‘": "’", '"': '"', "„": "“", "「": "」", "『": "』"}
@@ -53,7 +53,7 @@ def abbreviations(sides: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     kind: never (no sentence ends there), may (one ends where a capital follows), none.
     """
-    token = rf"(?<![\p{{L}}\p{{N}}.])(\p{{L}}{{2,{LETTERS}}})"
+    token = rf"(?<![\p{{L}}\p{{N}}.])(\p{{L}}{{2,}})"
     found = sides.filter("cased").select("source_file", "side", F.explode(F.regexp_extract_all("text", F.lit(rf"{token}\.\s+[^\s]"), F.lit(0))).alias("x"))
     next_ = F.substring("x", -1, 1)
     kinds = found.select(
@@ -76,12 +76,14 @@ def abbreviations(sides: DataFrame) -> tuple[DataFrame, DataFrame]:
         return F.when(abbreviation & never, "never").when(abbreviation, "may").otherwise("none")
 
     everywhere = likely.join(bare.groupBy("side", "token").agg(F.sum("bare").alias("bare")), ["side", "token"], "left")
-    everywhere = everywhere.select("side", "token", kind(F.coalesce("bare", F.lit(0))).alias("kind"))
+    everywhere = everywhere.select("side", "token", kind(F.coalesce("bare", F.lit(0))).alias("kind"), (F.col("dots") / (F.col("dots") + F.coalesce("bare", F.lit(0)))).alias("stops"))
     here = dotted.filter((F.col("dots") >= ENOUGH) & F.col("source_file").isNotNull()).join(F.broadcast(tokens) if small else tokens, ["side", "token"])
-    here = here.join(bare, ["source_file", "side", "token"], "left").select("source_file", "side", "token", kind(F.coalesce("bare", F.lit(0))).alias("kind"))
+    here = here.join(bare, ["source_file", "side", "token"], "left").select("source_file", "side", "token", "dots", kind(F.coalesce("bare", F.lit(0))).alias("kind"))
     # A document's own decision only counts against the corpus where it says more than "may" against "never".
     other = here.join(everywhere.withColumnRenamed("kind", "usual"), ["side", "token"]).filter((F.col("kind") != F.col("usual")) & ((F.col("kind") == "none") | (F.col("usual") == "none")))
-    return everywhere, other.select("source_file", "side", "token", "kind")
+    # Names and last words stand before a few full stops in a row by chance: that makes no abbreviation.
+    other = other.filter((F.col("kind") == "none") | (F.pow("stops", "dots") <= CHANCE))
+    return everywhere.drop("stops"), other.select("source_file", "side", "token", "kind")
 
 
 def reporting_words(sides: DataFrame) -> DataFrame:
@@ -182,7 +184,10 @@ def split(text: str, cased: bool, table: dict, own: dict, reporters: frozenset |
             beside = text[e] if e < n else ""
             if beside.isdigit() and s and text[s - 1].isdigit():
                 continue
-            token = _TOKEN.search(text, max(0, s - 16), s)
+            before = s
+            while before > start and (text[before - 1].isalpha() or text[before - 1] == "."):
+                before -= 1
+            token = _TOKEN.search(text, before, s)
             token = token[0] if token else ""
             if "." in token and any(len(x) > 2 for x in token.split(".")):
                 token = token.rpartition(".")[2]  # a sentence end without a blank stands inside

@@ -65,6 +65,17 @@ def test_abbreviations_are_learned_from_the_corpus(spark):
     assert sentences.sentences(spark.createDataFrame([], TEXTS)).count() == 0
 
 
+def test_long_tokens_are_tested_for_abbreviations(spark):
+    en = ["Then Messrs. Osawan and Kisowat left."] * 4 + ["He took approx. five nets home. The end came."] * 4 + ["We met Kisowat here. The bear saw Kisowat."] * 4
+    data = [(i, f"f{i % 2}", None, t, "", "") for i, t in enumerate(en)]
+    got = {}
+    for r in sentences.sentences(spark.createDataFrame(data, TEXTS)).collect():
+        got.setdefault(r["row_id"], []).append(data[r["row_id"]][3][r["sent_start"] : r["sent_end"]])
+    assert got[0] == [en[0]]
+    assert sorted(got[4]) == ["He took approx. five nets home.", "The end came."]
+    assert len(got[8]) == 2
+
+
 @pytest.mark.parametrize(
     ("odd", "plain"),
     [

@@ -21,6 +21,7 @@ NEVER_END = frozenset("Mr Mrs Ms Dr Rev St Capt Prof Fr Sr Col Gen Lt Sgt Hon ca
 MAY_END = frozenset("etc a.m p.m Jr Inc Co Ltd".split())
 ENOUGH = 3  # occurrences with a full stop from which a document, or the corpus, decides for itself
 CHANCE = 1e-5  # greatest chance, at the corpus's share of full stops, of a document's stops that make an abbreviation
+TWICE = 2  # sure cases from which a word counts as one that reports speech, however large the table
 SHARE = 0.05  # of the occurrences may go against a decision
 MAX_TABLE = 100_000  # decisions and reporting words up to this number are broadcast, beyond it they are joined by shuffle
 
@@ -90,9 +91,8 @@ def reporting_words(sides: DataFrame) -> DataFrame:
     """(side, word) of words that follow closing quotes inside a sentence: after a comma within the quotes, or in small letters in a text with capitals."""
     sure = sides.select("side", F.explode(F.regexp_extract_all("text", F.lit(r"[,][\"”’»]\s+(\p{Ll}[\p{Ll}\p{M}]*)"), F.lit(1))).alias("word"))
     small = sides.filter("cased").select("side", F.explode(F.regexp_extract_all("text", F.lit(r"[.!?…][\"”’»]\s+(\p{Ll}[\p{Ll}\p{M}]*)"), F.lit(1))).alias("word"))
-    counted = cut(sure.unionByName(small).groupBy("side", "word").agg(F.count("*").alias("n")))
-    total = counted.agg(F.sum("n")).collect()[0][0] or 0
-    return counted.filter(F.col("n") >= max(2, total // 2000)).select("side", "word")  # 2000 words at most
+    counted = sure.unionByName(small).groupBy("side", "word").agg(F.count("*").alias("n"))
+    return cut(counted.filter(F.col("n") >= TWICE).select("side", "word"))
 
 
 def _quoted(text: str) -> list[tuple[int, int]]:

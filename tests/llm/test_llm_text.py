@@ -76,6 +76,12 @@ def test_long_tokens_are_tested_for_abbreviations(spark):
     assert len(got[8]) == 2
 
 
+def test_rare_reporting_words_count_in_large_tables(spark):
+    rows = [(1, "f", None, "“Go,” said he. " * 6100, "", ""), (2, "f", None, "“Go,” cried he. “No,” cried she.", "", "")]
+    sides = sentences._sides(spark.createDataFrame(rows, TEXTS))
+    assert {r["word"] for r in sentences.reporting_words(sides).collect()} == {"said", "cried"}
+
+
 @pytest.mark.parametrize(
     ("odd", "plain"),
     [

@@ -20,8 +20,8 @@ from glossmill.session import cut, written
 NEVER_END = frozenset("Mr Mrs Ms Dr Rev St Capt Prof Fr Sr Col Gen Lt Sgt Hon ca cf vol ch p pp No fig e.g i.e vs Jan Feb Mar Apr Aug Sept Oct Nov Dec".split())
 MAY_END = frozenset("etc a.m p.m Jr Inc Co Ltd".split())
 ENOUGH = 3  # occurrences with a full stop from which a document, or the corpus, decides for itself
-CHANCE = 1e-5  # greatest chance, at the corpus's share of full stops, of a document's stops that make an abbreviation
 TWICE = 2  # sure cases from which a word counts as one that reports speech, however large the table
+CHANCE = 1e-5  # greatest chance, at the corpus's share of full stops, of a document's stops that make an abbreviation
 SHARE = 0.05  # of the occurrences may go against a decision
 MAX_TABLE = 100_000  # decisions and reporting words up to this number are broadcast, beyond it they are joined by shuffle
 
@@ -96,14 +96,18 @@ def reporting_words(sides: DataFrame) -> DataFrame:
 
 
 def _quoted(text: str) -> list[tuple[int, int]]:
-    spans, open_at, closer = [], -1, ""
+    spans, opened = [], []
     for m in _QUOTES.finditer(text):
         c = m[0]
-        if open_at >= 0 and c == closer:
-            spans.append((open_at, m.start()))
-            open_at = -1
-        elif c in _OPEN and (open_at < 0 or m.start() - open_at > 3000):
-            open_at, closer = m.start(), _OPEN[c]
+        depth = next((k for k in range(len(opened) - 1, -1, -1) if opened[k][1] == c), -1)
+        if depth >= 0:
+            first = opened[depth][0]
+            while spans and spans[-1][0] > first:
+                spans.pop()
+            spans.append((first, m.start()))
+            del opened[depth:]
+        elif c in _OPEN:
+            opened.append((m.start(), _OPEN[c]))
     return spans
 
 
@@ -210,11 +214,11 @@ def _cutter(shared):
     def run(batches):
         tables, reporters, decided = shared.value
         for batch in batches:
-            ids, sources, sides, texts, cased, own = (batch.column(i).to_pylist() for i in range(6))
+            ids, sources, sides, texts, cased, own, near, says = (batch.column(i).to_pylist() for i in range(8))
             rows, names, starts, ends = [], [], [], []
-            for i, source, side, text, caps, more in zip(ids, sources, sides, texts, cased, own, strict=True):
+            for i, source, side, text, caps, more, known, words in zip(ids, sources, sides, texts, cased, own, near, says, strict=True):
                 mine = decided.get((source, side)) or (dict(more) if more else {})
-                for a, b in split(text, caps, tables.get(side, {}), mine, reporters.get(side, frozenset())):
+                for a, b in split(text, caps, tables.get(side, {}) if known is None else dict(known), mine, reporters.get(side, frozenset()) if words is None else set(words)):
                     rows.append(i)
                     names.append(side)
                     starts.append(a)
@@ -227,6 +231,13 @@ def _cutter(shared):
     return run
 
 
+def _of_rows(sides: DataFrame, pattern: str, table: DataFrame, key: str, name: str) -> DataFrame:
+    """Per row the entries of ``table`` for what the pattern finds in its text; an empty list where there are none."""
+    found = sides.select("row_id", "side", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)))).alias(key))
+    entry = F.array(key, "kind") if "kind" in table.columns else F.col(key)
+    return found.join(table, ["side", key]).groupBy("row_id", "side").agg(F.collect_list(entry).alias(name))
+
+
 def sentences(texts: DataFrame) -> DataFrame:
     """(row_id, side, sent_start, sent_end) of every sentence of both sides of every paragraph.
 
@@ -239,11 +250,21 @@ def sentences(texts: DataFrame) -> DataFrame:
     sides = written(_sides(texts.select("row_id", "source_file", "text_cree", "text_en")))
     corpus, documents = abbreviations(sides)
     tables: dict[str, dict[str, str]] = {}
-    for side, token, kind in corpus.limit(10 * MAX_TABLE).collect():  # tokens of at most five letters
-        tables.setdefault(side, {})[token] = kind
+    # Beyond the bound a row gets the entries for its own words alone.
+    near = says = None
+    corpus = cut(corpus)
+    if corpus.count() <= MAX_TABLE:
+        for side, token, kind in corpus.collect():
+            tables.setdefault(side, {})[token] = kind
+    else:
+        near = _of_rows(sides, r"(\p{L}+)\.", corpus, "token", "near")
     reporters: dict[str, set[str]] = {}
-    for side, word in reporting_words(sides).collect():
-        reporters.setdefault(side, set()).add(word)
+    words = reporting_words(sides)
+    if words.count() <= MAX_TABLE:
+        for side, word in words.collect():
+            reporters.setdefault(side, set()).add(word)
+    else:
+        says = _of_rows(sides, r"[\"”’»」』][^\p{L}\p{N}]*([\p{L}\p{M}]+)", words, "word", "says")
     documents = cut(documents)
     decided: dict[tuple, dict] = {}
     if documents.count() <= MAX_TABLE:
@@ -254,5 +275,7 @@ def sentences(texts: DataFrame) -> DataFrame:
         per = documents.groupBy("source_file", "side").agg(F.collect_list(F.struct("token", "kind")).alias("own"))
         rows = sides.join(per, ["source_file", "side"], "left")
     shared = spark.sparkContext.broadcast((tables, {k: frozenset(v) for k, v in reporters.items()}, decided))
-    rows = rows.select("row_id", "source_file", "side", "text", "cased", F.transform("own", lambda x: F.array(x["token"], x["kind"])).alias("own"))
+    for extra, name, empty in ((near, "near", "array<array<string>>"), (says, "says", "array<string>")):
+        rows = rows.withColumn(name, F.lit(None).cast(empty)) if extra is None else rows.join(extra, ["row_id", "side"], "left").withColumn(name, F.coalesce(name, F.array().cast(empty)))
+    rows = rows.select("row_id", "source_file", "side", "text", "cased", F.transform("own", lambda x: F.array(x["token"], x["kind"])).alias("own"), "near", "says")
     return rows.mapInArrow(_cutter(shared), "row_id bigint, side string, sent_start bigint, sent_end bigint")

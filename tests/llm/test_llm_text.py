@@ -82,6 +82,17 @@ def test_rare_reporting_words_count_in_large_tables(spark):
     assert {r["word"] for r in sentences.reporting_words(sides).collect()} == {"said", "cried"}
 
 
+def test_long_quotations_and_large_tables(spark, monkeypatch):
+    text = "“" + "a. " * 1200 + "“b.” c.” The end."
+    assert sentences._quoted(text) == [(0, text.rindex("”"))]
+    assert len(cut(text)) == 2
+    en = ["The bear left by Xyz. Osawan the old. “Go,” said he. “Go!” said he."] * 4
+    df = spark.createDataFrame([(i, f"f{i % 2}", None, t, "", "") for i, t in enumerate(en)], TEXTS)
+    small = sorted(map(tuple, sentences.sentences(df).collect()))
+    monkeypatch.setattr(sentences, "MAX_TABLE", 0)
+    assert sorted(map(tuple, sentences.sentences(df).collect())) == small
+
+
 @pytest.mark.parametrize(
     ("odd", "plain"),
     [

@@ -1,8 +1,9 @@
 """Sentence boundaries across languages and scripts.
 
-Method: document-centred disambiguation. Which tokens are abbreviations, and which words report
-speech, is read off their unambiguous occurrences: in the same document where it has enough of
-them, else in the whole corpus, else from a short stated list. Terminators follow the script;
+Method: document-centred disambiguation. Which tokens are abbreviations
+is read off their unambiguous occurrences: in the same document where it has enough of
+them, else in the whole corpus, else from a short stated list. Which words report speech is read
+off the corpus; proper names are not determined (README). Terminators follow the script;
 texts without capitals are told from others and lose the evidence of letter case.
 """
 

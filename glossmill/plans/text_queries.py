@@ -415,7 +415,7 @@ def fragment_merge(spark, d):
 
 @query()
 def line_machine(spark, d):
-    rows = table(spark, d, S).dropna(subset=["text_cree", "text_en"]).filter(F.col("source_file") == "okimasis")
+    rows = table(spark, d, S).dropna(subset=["text_cree", "text_en"])
     page = F.concat(F.lit("Chapter 1\n\n  1. "), "text_cree", F.lit("\n     "), "text_en", F.lit("\n12\n"), "text_cree", F.lit("     "), "text_en")
     return parse.grammar_examples(rows.select("row_id", page.alias("text")), "row_id", "text")
 

@@ -221,3 +221,12 @@ def test_stories(spark):
     text = f"(3) Contents\nTEXTS AND TRANSLATIONS\n(1) First Story\n\n12\n\n{cree}\n* note\n\n{cree}\n\n{en}\n\n{en}\n\n(1) Not Again\n\n(2) Second Story\n\n{cree}\n"
     got = {r["num"]: (len(r["cree"]), len(r["en"])) for r in parse.stories(spark.createDataFrame([(1, text), (2, None)], "k int, t string"), "k", "t").collect()}
     assert got == {1: (2, 2), 2: (1, 0)}
+
+
+def test_line_machine_takes_rows_of_every_source(spark, tmp_path):
+    from glossmill.plans.text_queries import line_machine
+
+    rows = [(1, "okimasis", "nīpiy kī-wāpamēw", "the dog saw the water"), (2, "other", "nīpiy kī-wāpamēw", "the dog saw the water"), (3, None, "nīpiy kī-wāpamēw", "the dog saw the water"), (4, "other", None, "x")]
+    spark.createDataFrame(rows, "row_id bigint, source_file string, text_cree string, text_en string").write.parquet(f"{tmp_path}/bloomfield_texts_sentences.parquet")
+    got = [tuple(r)[1:] for k in (1, 2, 3) for r in line_machine(spark, str(tmp_path)).filter(f"row_id = {k}").collect()]
+    assert got and len(got) % 3 == 0 and got[: len(got) // 3] * 3 == got

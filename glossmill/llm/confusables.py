@@ -33,7 +33,7 @@ _CYRILLIC_OF = {v: k for k, v in CYRILLIC.items() if v != "g"}
 _GREEK_OF = {v: k for k, v in GREEK.items()}
 _FORMS = str.maketrans(dict.fromkeys(HYPHENS, "-") | dict.fromkeys(APOSTROPHES, "'") | dict.fromkeys(SPACES, " ") | dict.fromkeys(INVISIBLE) | OTHER)
 _WORD = re.compile(r"[^\W\d_]+")
-_PLAIN = r"^[\x20-\x{7E}\x{C0}-\x{17F}\x{1401}-\x{167F}]*$"  # no form of these needs a change
+_PLAIN = r"^[\x20-\x{5F}\x{61}-\x{7E}\x{C0}-\x{D6}\x{D8}-\x{130}\x{132}-\x{17F}\x{1401}-\x{157C}\x{157E}-\x{167F}]*$"  # no form of these needs a change
 SCRIPTS = {"LATIN": "Latn", "CYRILLIC": "Cyrl", "GREEK": "Grek", "ARMENIAN": "Armn"}
 
 

@@ -119,6 +119,13 @@ def test_visible_differences_stay(spark):
     assert confusables.lookalikes(df.limit(0)).count() == 0
 
 
+def test_no_changed_character_is_taken_for_plain(spark):
+    texts = ["nıpiy", "nipiy", "k`a", "k'a", "ᑭᓂᐤ×", "ᑭᓂᐤᕽ", "ᑭᓂᐤ᙮"]
+    df = spark.createDataFrame(list(enumerate(texts)), "row_id bigint, text_cree string")
+    assert {r["row_id"]: r["form"] for r in confusables.normalized(df).collect()} == {i: confusables.consistent(t) for i, t in enumerate(texts)}
+    assert sorted(map(tuple, confusables.lookalikes(df).collect())) == [(0, 1), (2, 3), (4, 5), (4, 6), (5, 6)]
+
+
 DICTIONARY = "token string, entries array<struct<lemma:string,pos:string,pos_label:string,definitions:array<string>>>"
 WORDS = {"atim": "dog", "maskwa": "bear", "sîsîp": "duck", "kinosêw": "fish", "nipiy": "water", "iskotêw": "fire", "mistik": "tree", "asiniy": "stone"}
 SENTENCES = "row_id bigint, paragraph_id bigint, sentence_id bigint, text_cree string, text_en string, source_file string, block int"

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,8 +21,6 @@ ENGLISH_WORDS = (
     "saw took made just back away man woman old new good great too if how"
 ).split()
 MACRONS = "āēīōĀĒĪŌ"
-# Letters with diacritics of the corpus alphabet and their bases.
-ACCENTED, BASES = "âêîôāēīōáéíóúàèìòùäëïöüçñ", "aeioaeioaeiouaeiouaeioucn"
 SPACE_SQL = r"[\s\x0b\x{85}\p{Z}]"
 
 
@@ -78,9 +79,9 @@ def denoised(x: Column) -> Column:
 
 def block(x: Column) -> Column:
     """An OCR block without margin numbers and double blanks, hyphenated line ends joined, lines joined."""
-    x = F.regexp_replace(x, r"(?m)^[ \t]*\d+ {2,}", "")
-    x = F.regexp_replace(F.regexp_replace(x, r"  +", " "), r"-[ \t]*\n\s*", "")
-    return strip(F.regexp_replace(x, r"\s*\n\s*", " "))
+    x = F.regexp_replace(x, r"(?Um)^\s*\d+\s{2,}", "")
+    x = F.regexp_replace(F.regexp_replace(x, r"  +", " "), r"(?U)-\s*\n\s*", "")
+    return strip(F.regexp_replace(x, r"(?U)\s*\n\s*", " "))
 
 
 def header_key(x: Column) -> Column:
@@ -96,9 +97,21 @@ def content_tokens(x: Column) -> Column:
     return F.array_distinct(F.transform(kept, F.lower))
 
 
+@lru_cache(maxsize=1)
+def accents() -> tuple[str, str]:
+    """Lower-case letters that are composed with diacritics, and their bases, from the canonical decompositions."""
+    pairs = []
+    for code in range(0xC0, 0x10000):
+        c = chr(code)
+        base = "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn") if c == c.lower() else c
+        if len(base) == 1 and base != c:
+            pairs.append((c, base))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
 def unaccented(x: Column) -> Column:
-    """Lower case without the diacritics of the corpus alphabet."""
-    return F.translate(F.lower(x), ACCENTED, BASES)
+    """Lower case without diacritics, composed or combining (category Mn)."""
+    return F.regexp_replace(F.translate(F.lower(x), *accents()), r"\p{Mn}+", "")
 
 
 def letters(x: Column) -> Column:
@@ -245,3 +258,51 @@ def round_at(x: Column, places: int = 4) -> Column:
 def draw(key: Column, seed: int | str = 42) -> Column:
     """Number from 0 to 2^32-1 that orders rows at random, the same at every partitioning."""
     return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string"))), 1, 8), 16, 10).cast("bigint")
+
+
+def roll(a: Column, b: Column) -> Column:
+    """Pseudo-random number below 2^31 - 1 from two whole numbers (a below 2,000, b below 10^11), in whole-number arithmetic alone."""
+    m = F.lit(2147483647)
+    x = ((a * 1000003 + b + 1) * 48271) % m
+    for k in (3, 5):
+        x = (x * x + x * k + 1) % m
+    return (x * 69621 + 12345) % m
+
+
+def average(a: Column) -> Column:
+    """Mean of an array of numbers, 0 for an empty one."""
+    return F.when(F.size(a) > 0, F.aggregate(a, F.lit(0), lambda s, y: s + y) / F.size(a)).otherwise(0.0)
+
+
+def word_length(x: Column) -> Column:
+    """Mean length of the words of a text, 0 without any."""
+    return average(F.transform(words(x), F.length))
+
+
+def sentence_length(x: Column) -> Column:
+    """Mean number of words of the sentences of a text, 0 without any."""
+    return average(F.transform(sentences_bare(x), lambda s: F.size(words(s))))
+
+
+def env_value(line: Column, name: str) -> Column:
+    """Value of a line NAME=value, cut at the first sign and stripped; NULL for any other line."""
+    return F.when(F.startswith(line, F.lit(f"{name}=")), strip(F.substr(line, F.lit(len(name) + 2))))
+
+
+def patched(x: Column, marker: str, patch: str) -> Column:
+    """Text with the marker replaced where it stands exactly once; NULL where it does not, so that a caller can tell."""
+    times = (F.length(x) - F.length(F.replace(x, F.lit(marker), F.lit("")))) / len(marker)
+    return F.when(times == 1, F.replace(x, F.lit(marker), F.lit(patch)))
+
+
+def after_front(x: Column, header: str) -> Column:
+    """Text from the first match of a header on, or the whole text without one."""
+    at = F.regexp_instr(x, F.lit(header))
+    return F.when(at > 0, F.substr(x, at)).otherwise(x)
+
+
+def padded(ids: Column, size: int) -> Column:
+    """Struct of two arrays of the given size: ids cut or filled with 0, and their mask."""
+    n = F.least(F.size(ids), F.lit(size))
+    fill = F.array_repeat(F.lit(0), F.lit(size) - n)
+    return F.struct(F.concat(F.slice(ids, F.lit(1), n), fill).alias("input_ids"), F.concat(F.array_repeat(F.lit(1), n), fill).alias("attention_mask"))

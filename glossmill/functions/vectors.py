@@ -56,3 +56,11 @@ def sigmoid(x: Column) -> Column:
 def hierarchy(binary: Column, kinds: Column) -> Column:
     """Joint log probabilities of literal and the figurative kinds from a two-headed model."""
     return F.concat(F.array(F.ln(sigmoid(-binary))), F.transform(log_softmax(kinds), lambda x: x + F.ln(sigmoid(binary))))
+
+
+def masked_mean(tokens: Column, mask: Column, size: int) -> Column:
+    """Mean of the token vectors whose mask is 1, with a floor of 1e-9 on their number; ``size`` is that of a vector."""
+    kept = F.zip_with(tokens, mask, lambda v, m: F.transform(v, lambda x: x * m))
+    sums = F.aggregate(kept, F.array_repeat(F.lit(0.0), size), lambda s, v: F.zip_with(s, v, lambda x, y: x + y))
+    n = F.greatest(F.aggregate(mask, F.lit(0.0), lambda s, m: s + m), F.lit(1e-9))
+    return F.transform(sums, lambda x: x / n)

@@ -98,3 +98,47 @@ def deltas(rows: DataFrame, key: str, baseline: str, metrics: list[str]) -> Data
 def unpivoted(rows: DataFrame, key: str, metrics: list[str]) -> DataFrame:
     """(key, metric, value) rows."""
     return rows.unpivot(key, metrics, "metric", "value")
+
+
+def from_logits(rows: DataFrame, logits: str, truth: str) -> DataFrame:
+    """Macro F1 and F1 of each label, not rounded, of the greatest logit against the true class number.
+
+    ValueError unless all four classes occur among the true or the guessed ones.
+    """
+    guess = F.array_position(F.col(logits), F.array_max(logits)).cast("int") - 1
+    names = F.array(*map(F.lit, LABELS))
+    counts = rows.filter(F.col(logits).isNotNull()).groupBy(F.get(names, F.col(truth).cast("int")).alias("t"), F.get(names, guess).alias("p")).agg(F.count("*").alias("n"))
+    seen = {x for r in counts.select("t", "p").collect() for x in r}
+    if not seen >= set(LABELS):
+        raise ValueError(f"labels that do not occur: {sorted(set(LABELS) - seen)}")
+    s = scores(counts, places=None)
+    return s.select("macro_f1", *(F.col(f"f1_{c}").alias(f"{c}_f1") for c in LABELS))
+
+
+def overridden(defaults: list[tuple[str, str]], changes: list[tuple[str, str]]) -> list[tuple[int, str, str]]:
+    """(place, label, checkpoint): the defaults in their order, with changed checkpoints of the same label, then new labels."""
+    final = dict(defaults) | dict(changes)
+    return [(i, k, v) for i, (k, v) in enumerate(final.items())]
+
+
+def three(x: Column) -> Column:
+    """A share with three decimals, as text."""
+    n = F.floor(x * 1000 + F.lit(0.5)).cast("bigint")
+    return F.concat(F.floor(n / 1000).cast("string"), F.lit("."), F.lpad((n % 1000).cast("string"), 3, "0"))
+
+
+def results_table(order: list[tuple[str, str | None]], rows: DataFrame, missing: str = "no checkpoint given") -> DataFrame:
+    """Rows of a fixed order of (model, checkpoint) with their metrics, an error where there are none, and the line of a table.
+
+    ``rows`` has model, macro_p, macro_r, macro_f1, the F1 of each label and the bounds of macro F1, which may be NULL.
+    """
+    spark = rows.sparkSession
+    skeleton = spark.createDataFrame([(i, m, c) for i, (m, c) in enumerate(order)], "place int, model string, checkpoint string")
+    cols = ["macro_p", "macro_r", "macro_f1", "macro_f1_ci_lo", "macro_f1_ci_hi", *(f"f1_{c}" for c in LABELS)]
+    both = skeleton.join(rows.select("model", *cols), "model", "left")
+    error = F.when(F.col("macro_f1").isNull(), missing)
+    bounds = F.coalesce(F.concat(F.lit(" ["), three(F.col("macro_f1_ci_lo")), F.lit(", "), three(F.col("macro_f1_ci_hi")), F.lit("]")), F.lit(""))
+    cells = [F.col("model"), three(F.col("macro_p")), three(F.col("macro_r")), F.concat(three(F.col("macro_f1")), bounds), *(three(F.col(f"f1_{c}")) for c in LABELS)]
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    bare = F.concat(F.lit("| "), "model", F.lit(" | — | — | — | — | — | — | — | (not available: "), error, F.lit(")"))
+    return both.select("place", "model", "checkpoint", *cols, error.alias("error"), F.when(error.isNull(), line).otherwise(bare).alias("line"))

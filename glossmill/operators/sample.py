@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from glossmill.functions.text import draw
+from glossmill.functions.text import draw, roll
 
 BUCKETS = 4096
 
@@ -82,10 +82,29 @@ def resampled(df: DataFrame, key: str, label: str, draws: int, seed: int | str =
     return chosen.join(ranked(df.filter(F.col(label).isNotNull()), key, seed, [label]).select(key, label, "rn"), [label, "rn"]).select("draw", key, label)
 
 
-def bootstrap(n: int, replicates: int, spark, seed: int | str = 7) -> DataFrame:
-    """(replicate, i) of resampling n rows with replacement, i from 0."""
-    grid = spark.range(n * replicates).select((F.col("id") / n).cast("bigint").alias("replicate"), (F.col("id") % n).alias("j"))
-    return grid.select("replicate", (draw(F.concat_ws("-", F.col("replicate").cast("string"), F.col("j").cast("string")), seed) % n).alias("i"))
+def bootstrap(counts: DataFrame, replicates: int = 2000) -> DataFrame:
+    """(replicate, t, p, n) of resampling the rows behind confusion counts (t, p, n) with replacement.
+
+    Rows of one cell are the same to every metric, so a draw only needs its cell: draws are whole
+    numbers below the number of rows, told apart by the bounds of at most 16 cells. No row is joined
+    or shuffled; partial counts of (replicate, cell) are. Labels outside the four raise an error.
+    """
+    spark = counts.sparkSession
+    cells = counts.orderBy("t", "p").select("t", "p", "n").limit(17).collect()
+    if len(cells) > 16 or any(r[0] is None or r[1] is None for r in cells):
+        raise ValueError("counts of the four labels are wanted")
+    size = sum(r[2] for r in cells)
+    if not size:
+        return counts.select(F.lit(0).cast("bigint").alias("replicate"), "t", "p", "n").limit(0)
+    grid = spark.range(size * replicates).select((F.col("id") / size).cast("bigint").alias("replicate"), (F.col("id") % size).alias("k"))
+    at, bound = None, 0
+    drawn = roll(F.col("replicate"), F.col("k")) % size
+    for i, r in enumerate(cells):
+        bound += r[2]
+        at = F.when(F.col("draw") < bound, i) if at is None else at.when(F.col("draw") < bound, i)
+    hits = grid.select("replicate", drawn.alias("draw")).select("replicate", at.alias("cell")).groupBy("replicate", "cell").agg(F.count("*").alias("n"))
+    names = [F.get(F.array(*(F.lit(r[k]) for r in cells)), F.col("cell")) for k in (0, 1)]
+    return hits.select("replicate", names[0].alias("t"), names[1].alias("p"), "n")
 
 
 def masked(tokens: Column, key: Column, rate: float = 0.15, seed: int | str = 42) -> Column:

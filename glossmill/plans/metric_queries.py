@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from glossmill.functions import labels as L
 from glossmill.functions import text as X
 from glossmill.functions import vectors as V
-from glossmill.operators import metrics, ml, pool, retrieval, sample
+from glossmill.operators import losses, metrics, ml, pool, retrieval, sample
 from glossmill.plans import registry as R
 from glossmill.plans.registry import query
 from glossmill.session import table
@@ -136,14 +138,13 @@ def majority_baseline(spark, d):
     return metrics.scores(metrics.confusion(judged(spark, d).withColumn("p", F.lit("literal")), "t", "p"))
 
 
-_TRIALS = 20
-_RANDOM = f"(SELECT trial, t, {R.array(LABELS)}[('0x' || substr(md5(concat_ws('|', 'random', trial || '-' || row_id)), 1, 8))::BIGINT % 4 + 1] AS p, count(*) AS n FROM {R.JUDGED}, range({_TRIALS}) r(trial) GROUP BY ALL)"
+_TRIALS = 200
+_RANDOM = f"(SELECT trial, t, {R.array(LABELS)}[{R.roll('trial', 'row_id')} % 4 + 1] AS p, count(*) AS n FROM {R.JUDGED}, range({_TRIALS}) r(trial) GROUP BY ALL)"
 
 
 def _random(spark, d):
-    h = X.draw(F.concat_ws("-", F.col("trial").cast("string"), F.col("row_id").cast("string")), "random")
-    rows = judged(spark, d).withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(_TRIALS - 1)).cast("array<bigint>")))
-    return metrics.confusion(rows.withColumn("p", F.get(F.array(*map(F.lit, LABELS)), (h % 4).cast("int"))), "t", "p", ["trial"])
+    rows = judged(spark, d).select("row_id", "t").withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(_TRIALS - 1)).cast("array<bigint>")))
+    return metrics.confusion(rows.withColumn("p", F.get(F.array(*map(F.lit, LABELS)), (X.roll(F.col("trial"), F.col("row_id")) % 4).cast("int"))), "t", "p", ["trial"])
 
 
 @query(f"SELECT {R.rnd('avg(macro_f1)')} AS macro_f1, {R.rnd('quantile_cont(macro_f1, 0.025)')} AS lo, {R.rnd('quantile_cont(macro_f1, 0.975)')} AS hi FROM ({R.scores_sql(_RANDOM, ('trial',))})")
@@ -153,19 +154,17 @@ def random_baseline(spark, d):
     return per.agg(X.round_at(F.avg("macro_f1")).alias("macro_f1"), q(0.025).alias("lo"), q(0.975).alias("hi"))
 
 
-_B = 50
-_BOOT = f"""(WITH j AS (SELECT t, p, row_number() OVER (ORDER BY row_id) - 1 AS i, count(*) OVER () AS n FROM {R.JUDGED}), g AS (SELECT b AS replicate, k, ('0x' || substr(md5(concat_ws('|', '7', b || '-' || k)), 1, 8))::BIGINT % (SELECT max(n) FROM j) AS i FROM range({_B}) x(b), range((SELECT max(n) FROM j)) y(k))
-SELECT replicate, t, p, count(*) AS n FROM g JOIN j USING (i) GROUP BY replicate, t, p)"""
+_B = 2000
+_BOOT = f"""(WITH j AS (SELECT t, p, count(*) AS n FROM {R.JUDGED} GROUP BY t, p), c AS (SELECT t, p, (sum(n) OVER (ORDER BY t, p))::BIGINT AS hi, (sum(n) OVER (ORDER BY t, p))::BIGINT - n AS lo, (sum(n) OVER ())::BIGINT AS size FROM j),
+g AS (SELECT b AS replicate, {R.roll('b', 'k')} % (SELECT max(size) FROM c) AS i, count(*) AS n FROM range({_B}) x(b), range((SELECT max(size) FROM c)) y(k) GROUP BY ALL)
+SELECT replicate, t, p, sum(g.n)::BIGINT AS n FROM g JOIN c ON i >= lo AND i < hi GROUP BY replicate, t, p)"""
 _PICKS = ("macro_f1", *(f"f1_{c}" for c in LABELS[1:]))
+_CI = f"SELECT {', '.join(R.rnd(f'quantile_cont({m}, {q})') + f' AS {m}_ci_{e}' for m in _PICKS for e, q in (('lo', 0.025), ('hi', 0.975)))} FROM ({R.scores_sql(_BOOT, ('replicate',))})"
 
 
-@query(f"SELECT {', '.join(R.rnd(f'quantile_cont({m}, {q})') + f' AS {m}_ci_{e}' for m in _PICKS for e, q in (('lo', 0.025), ('hi', 0.975)))} FROM ({R.scores_sql(_BOOT, ('replicate',))})")
+@query(_CI)
 def bootstrap_ci(spark, d):
-    rows = pool.ordinals(judged(spark, d).select("row_id", "t", "p"), "row_id", "i")
-    n = rows.count()
-    drawn = sample.bootstrap(n, _B, spark).join(rows.select("i", "t", "p"), "i")
-    ci = metrics.bootstrap_ci(metrics.confusion(drawn, "t", "p", ["replicate"]), level=0.95)
-    return ci
+    return metrics.bootstrap_ci(sample.bootstrap(metrics.confusion(judged(spark, d), "t", "p"), _B), level=0.95)
 
 
 _FOLD = f"(SELECT f.fold AS fold, j.t AS t, j.p AS p, count(*) AS n FROM (SELECT row_id, (row_number() OVER (PARTITION BY t ORDER BY {R.draw('row_id')}, row_id) - 1) % 5 AS fold FROM {R.JUDGED}) f JOIN {R.JUDGED} j USING (row_id) GROUP BY ALL)"
@@ -210,45 +209,126 @@ def metrics_wide_to_long(spark, d):
     return metrics.unpivoted(ablation_metrics(spark, d).select("condition", "macro_f1", "accuracy"), "condition", ["macro_f1", "accuracy"])
 
 
-_ORDER = ("Majority", "Random", "No-adapt", "Full")
+_LOGITS = "(SELECT {0}[label % 4 + 1] AS t, {0}[list_position(a, list_max(a))] AS p, count(*) AS n FROM (SELECT label, list_transform(embedding, lambda x: x::DOUBLE)[1:4] AS a FROM embeddings) GROUP BY ALL)".format(R.array(LABELS))
+
+
+@query(f"SELECT macro_f1, {', '.join(f'f1_{c} AS {c}_f1' for c in LABELS)} FROM ({R.scores_sql(_LOGITS, places=None)})")
+def logits_metrics(spark, d):
+    rows = table(spark, d, "embeddings").select((F.col("label") % 4).alias("y"), F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double")).alias("a"))
+    return metrics.from_logits(rows, "a", "y")
+
+
+_ORDER = (("Majority", None), ("Random", None), ("No adapt.", None), ("+TLM", None), ("+TLM+CLKD", None), ("Full", "folds 0 to 4"))
+_COLS = ("macro_p", "macro_r", "macro_f1", *(f"f1_{c}" for c in LABELS))
+_BASE_ROWS = f"""(SELECT 'Majority' AS model, {', '.join(_COLS)}, NULL::DOUBLE AS lo, NULL::DOUBLE AS hi FROM ({R.scores_sql(f"(SELECT t, 'literal' AS p, count(*) AS n FROM {R.JUDGED} GROUP BY t)")})
+UNION ALL SELECT 'Random', {', '.join(R.rnd(f'avg({c})') for c in _COLS)}, {R.rnd('quantile_cont(macro_f1, 0.025)')}, {R.rnd('quantile_cont(macro_f1, 0.975)')} FROM ({R.scores_sql(_RANDOM, ('trial',))})
+UNION ALL SELECT 'Full', {', '.join(_COLS)}, macro_f1_ci_lo, macro_f1_ci_hi FROM ({R.scores_sql(_COUNTS)}), ({_CI}))"""
+_SHORT = lambda x: f"(floor(({x}) * 1000 + 0.5)::BIGINT // 1000) || '.' || lpad((floor(({x}) * 1000 + 0.5)::BIGINT % 1000)::VARCHAR, 3, '0')"
 
 
-@query(f"""SELECT o.i AS place, o.name AS name, r.macro_f1 AS macro_f1, CASE WHEN r.macro_f1 IS NULL THEN 'no metrics' END AS error FROM (SELECT unnest({R.array(_ORDER)}) AS name, unnest([0, 1, 2, 3]) AS i) o
-LEFT JOIN (SELECT 'Majority' AS name, macro_f1 FROM ({R.scores_sql(f"(SELECT t, 'literal' AS p, count(*) AS n FROM {R.JUDGED} GROUP BY t)")}) UNION ALL SELECT 'Full', macro_f1 FROM ({R.scores_sql(_COUNTS)})) r USING (name)""")
+@query(f"""SELECT o.i AS place, o.model AS model, o.checkpoint AS checkpoint, {', '.join(_COLS)}, lo AS macro_f1_ci_lo, hi AS macro_f1_ci_hi, CASE WHEN macro_f1 IS NULL THEN 'no checkpoint given' END AS error,
+CASE WHEN macro_f1 IS NULL THEN '| ' || o.model || ' | — | — | — | — | — | — | — | (not available: no checkpoint given)' ELSE '| ' || o.model || ' | ' || {_SHORT('macro_p')} || ' | ' || {_SHORT('macro_r')} || ' | ' || {_SHORT('macro_f1')}
+|| coalesce(' [' || {_SHORT('lo')} || ', ' || {_SHORT('hi')} || ']', '') || ' | ' || {" || ' | ' || ".join(_SHORT(f'f1_{c}') for c in LABELS)} || ' |' END AS line
+FROM (SELECT unnest([0, 1, 2, 3, 4, 5]) AS i, unnest({R.array(m for m, _ in _ORDER)}) AS model, unnest([NULL, NULL, NULL, NULL, NULL, 'folds 0 to 4']) AS checkpoint) o LEFT JOIN {_BASE_ROWS} r ON o.model = r.model""")
 def results_table(spark, d):
-    have = majority_baseline(spark, d).select(F.lit("Majority").alias("name"), "macro_f1").unionByName(metrics_macro(spark, d).select(F.lit("Full").alias("name"), "macro_f1"))
-    order = spark.createDataFrame([(i, n) for i, n in enumerate(_ORDER)], "place int, name string")
-    return order.join(have, "name", "left").select("place", "name", "macro_f1", F.when(F.col("macro_f1").isNull(), "no metrics").alias("error"))
+    none = [F.lit(None).cast("double").alias(f"macro_f1_ci_{e}") for e in ("lo", "hi")]
+    row = lambda df, name, bounds: df.select(F.lit(name).alias("model"), *_COLS, *bounds)
+    per = metrics.scores(_random(spark, d), ["trial"])
+    spread = [X.round_at(F.percentile("macro_f1", F.lit(q))).alias(f"macro_f1_ci_{e}") for e, q in (("lo", 0.025), ("hi", 0.975))]
+    drawn = per.agg(*(X.round_at(F.avg(c)).alias(c) for c in _COLS), *spread)
+    full = metrics_macro(spark, d).join(F.broadcast(bootstrap_ci(spark, d).select("macro_f1_ci_lo", "macro_f1_ci_hi")))
+    ends = ["macro_f1_ci_lo", "macro_f1_ci_hi"]
+    have = row(majority_baseline(spark, d), "Majority", none).unionByName(row(drawn, "Random", ends)).unionByName(row(full, "Full", ends))
+    return metrics.results_table(list(_ORDER), have)
 
 
-_STATISTICS = ("texts", "chars", "words", "longest", "distinct_texts")
+# Models stand for the number of leading dimensions of the vectors that they see.
+_DEFAULTS = [("Base", "4"), ("+TLM", "16"), ("+TLM+InfoNCE", "32")]
+_CHANGES = [("+TLM", "24"), ("Wide", "64"), ("Broken", "none")]
 
 
-def _stats(c: str) -> dict[str, str]:
-    words = R.blank_words(c)
-    return {"texts": f"count({c})", "chars": f"coalesce(sum(length({c})), 0)::BIGINT", "words": f"coalesce(sum({words}), 0)::BIGINT", "longest": f"max(length({c}))::BIGINT", "distinct_texts": f"count(DISTINCT {c})"}
+def _direction(dims: int, odd: int) -> str:
+    cos = f"list_cosine_similarity({{}}[1:{dims}], {{}}[1:{dims}])"
+    return f"""(SELECT {R.rnd('avg((rank = 1)::INTEGER::DOUBLE)')} AS r1, {R.rnd('avg((rank <= 5)::INTEGER::DOUBLE)')} AS r5, {R.rnd('avg(1.0::DOUBLE / rank)')} AS mrr FROM (
+WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), t AS (SELECT vec_id - vec_id % 2 AS id, e FROM u WHERE vec_id % 2 = {odd}), s AS (SELECT vec_id - vec_id % 2 AS id, e FROM u WHERE (vec_id - vec_id % 2) % 50 = 0 AND vec_id % 2 = {1 - odd})
+SELECT s.id AS id, 1 + count(*) FILTER (WHERE {cos.format('s.e', 'x.e')} > {cos.format('s.e', 'g.e')} + 1e-12) AS rank FROM s JOIN t g ON g.id = s.id, t x GROUP BY s.id))"""
 
 
-@query(" UNION ALL ".join(f"SELECT '{k}' AS statistic, (SELECT {_stats('text_cree')[k]} FROM {S}) AS cree, (SELECT {_stats('text_en')[k]} FROM {S}) AS english" for k in _STATISTICS))
-def corpus_summary(spark, d):
-    rows = table(spark, d, S)
+_TLM = " UNION ALL ".join(
+    f"SELECT {i} AS place, '{m}' AS model, '{c}' AS checkpoint, " + (", ".join(f"{x}.{k} AS {y}_{k}" for x, y in (("a", "cree_to_en"), ("b", "en_to_cree")) for k in ("r1", "r5", "mrr")) + f", NULL AS error FROM {_direction(int(c), 1)} a, {_direction(int(c), 0)} b" if c.isdigit() else ", ".join(f"NULL::DOUBLE AS {y}_{k}" for y in ("cree_to_en", "en_to_cree") for k in ("r1", "r5", "mrr")) + ", 'no checkpoint: none' AS error")
+    for i, m, c in metrics.overridden(_DEFAULTS, _CHANGES)
+)
+
+
+@query(_TLM)
+def tlm_table(spark, d):
+    e = emb(spark, d).select((F.col("vec_id") - F.col("vec_id") % 2).alias("id"), (F.col("vec_id") % 2).alias("odd"), "e")
+    out = []
+    for place, model, checkpoint in metrics.overridden(_DEFAULTS, _CHANGES):
+        head = [F.lit(place).alias("place"), F.lit(model).alias("model"), F.lit(checkpoint).alias("checkpoint")]
+        if not checkpoint.isdigit():
+            empty = [F.lit(None).cast("double").alias(f"{y}_{k}") for y in ("cree_to_en", "en_to_cree") for k in ("r1", "r5", "mrr")]
+            out.append(spark.range(1).select(*head, *empty, F.lit(f"no checkpoint: {checkpoint}").alias("error")))
+            continue
+        seen = e.withColumn("v", F.slice("e", 1, int(checkpoint))).select("id", "odd", "v")
+        sides = []
+        for y, own in (("cree_to_en", 0), ("en_to_cree", 1)):
+            ranks = retrieval.gold_ranks(seen.filter((F.col("odd") == own) & (F.col("id") % 50 == 0)).select("id", "v"), seen.filter(F.col("odd") == 1 - own).select("id", "v"))
+            sides.append(retrieval.retrieval_metrics(ranks).select(*(X.round_at(F.col(k)).alias(f"{y}_{k}") for k in ("r1", "r5", "mrr"))))
+        out.append(sides[0].join(F.broadcast(sides[1])).select(*head, "*", F.lit(None).cast("string").alias("error")))
+    return reduce(lambda a, b: a.unionByName(b), out)
 
-    def side(c: str, name: str):
-        x = F.col(c)
-        # Texts are counted first, so the distinct count is pre-aggregated.
-        per = rows.filter(x.isNotNull()).groupBy(c).agg(F.count("*").alias("n"))
-        n = F.coalesce(F.sum("n"), F.lit(0))
-        one = per.agg(n.alias("texts"), F.coalesce(F.sum(F.col("n") * F.length(x)), F.lit(0)).alias("chars"), F.coalesce(F.sum(F.col("n") * X.blank_words(x)), F.lit(0)).alias("words"), F.max(F.length(x)).cast("bigint").alias("longest"), F.count("*").alias("distinct_texts"))
-        return one.unpivot([], list(_STATISTICS), "statistic", name)
 
-    return side("text_cree", "cree").join(side("text_en", "english"), "statistic")
+_STATISTICS = (
+    "total_words", "total_sentences", "vocabulary_size", "type_token_ratio", "avg_words_per_paragraph", "avg_sentences_per_paragraph", "avg_words_per_sentence",
+    "avg_word_length_chars", "avg_chars_per_paragraph", "mean_cree_en_word_ratio", "footnote_coverage_pct",
+)
+_P = "bloomfield_texts"
 
 
-@query(f"SELECT source, {R.rnd('sum(letters)::DOUBLE / nullif(sum(n), 0)')} AS letters_per_word FROM (SELECT source, list_sum(list_transform(w, lambda z: length(z))) AS letters, len(w) AS n FROM (SELECT source, {R.words('text')} AS w FROM {D} WHERE text IS NOT NULL AND source IS NOT NULL)) GROUP BY source")
+def _stats(c: str) -> str:
+    x = f"coalesce({c}, '')"
+    rows = f"(SELECT {R.words(x)} AS w, {R.sentences_bare(x)} AS s, length({x}) AS n FROM {_P})"
+    per = f"(SELECT len(w) AS w, len(s) AS s, n, {R.average('list_transform(w, lambda z: length(z))')} AS wl, {R.average(f'list_transform(s, lambda z: len({R.words("z")}))')} AS sl FROM {rows})"
+    vocabulary = f"(SELECT count(DISTINCT v) AS types, count(*) AS tokens FROM (SELECT unnest(w) AS v FROM {rows}))"
+    return f"""(SELECT coalesce(sum(w), 0)::DOUBLE AS total_words, coalesce(sum(s), 0)::DOUBLE AS total_sentences, any_value(types)::DOUBLE AS vocabulary_size, {R.rnd('any_value(types)::DOUBLE / nullif(any_value(tokens), 0)')} AS type_token_ratio,
+{R.rnd('avg(w)', 2)} AS avg_words_per_paragraph, {R.rnd('avg(s)', 2)} AS avg_sentences_per_paragraph, {R.rnd('avg(sl)', 2)} AS avg_words_per_sentence, {R.rnd('avg(wl)', 2)} AS avg_word_length_chars, {R.rnd('avg(n)', 2)} AS avg_chars_per_paragraph FROM {per}, {vocabulary})"""
+
+
+_WIDE = f"""(SELECT {R.rnd("avg(a::DOUBLE / nullif(b, 0))", 3)} AS mean_cree_en_word_ratio, {R.rnd("avg(f::DOUBLE) * 100", 2)} AS footnote_coverage_pct FROM (
+SELECT len({R.words("coalesce(text_cree, '')")}) AS a, len({R.words("coalesce(text_en, '')")}) AS b, (footnote_en IS NOT NULL AND {R.strip('footnote_en')} <> '')::INTEGER AS f FROM {_P}))"""
+
+
+@query("WITH c AS " + _stats("text_cree") + ", e AS " + _stats("text_en") + ", o AS " + _WIDE + " " + " UNION ALL ".join(f"SELECT {i} AS place, '{k}' AS statistic, " + (f"c.{k} AS cree, e.{k} AS english FROM c, e" if i < 9 else f"o.{k} AS cree, NULL::DOUBLE AS english FROM o") for i, k in enumerate(_STATISTICS)))
+def corpus_summary(spark, d):
+    rows = table(spark, d, _P).select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("text_cree", "text_en")), "footnote_en")
+
+    def side(c: str, name: str):
+        w, s = X.words(F.col(c)), X.sentences_bare(F.col(c))
+        per = rows.select(F.size(w).alias("w"), F.size(s).alias("s"), F.length(c).alias("n"), X.word_length(F.col(c)).alias("wl"), X.sentence_length(F.col(c)).alias("sl"))
+        # Words are counted where they stand before they are shuffled.
+        types = rows.select(F.explode(w).alias("v")).groupBy("v").agg(F.count("*").alias("n")).agg(F.count("*").alias("types"), F.sum("n").alias("tokens"))
+        total = lambda x: F.coalesce(F.sum(x), F.lit(0)).cast("double")
+        mean = lambda x: X.round_at(F.avg(x), 2)
+        one = per.agg(total("w").alias(_STATISTICS[0]), total("s").alias(_STATISTICS[1]), *(mean(x).alias(k) for x, k in zip(("w", "s", "sl", "wl", "n"), _STATISTICS[4:9], strict=True)))
+        ratio = X.round_at(F.col("types") / F.nullif(F.col("tokens"), F.lit(0)))
+        both = one.join(F.broadcast(types.select(F.col("types").cast("double").alias(_STATISTICS[2]), ratio.alias(_STATISTICS[3]))))
+        return both.unpivot([], list(_STATISTICS[:9]), "statistic", name)
+
+    noted = F.col("footnote_en").isNotNull() & (X.strip(F.col("footnote_en")) != "")
+    ratio = F.size(X.words(F.col("text_cree"))) / F.nullif(F.size(X.words(F.col("text_en"))), F.lit(0))
+    wide = rows.agg(X.round_at(F.avg(ratio), 3).alias(_STATISTICS[9]), X.round_at(F.avg(noted.cast("double")) * 100, 2).alias(_STATISTICS[10]))
+    rest = wide.unpivot([], list(_STATISTICS[9:]), "statistic", "cree").withColumn("english", F.lit(None).cast("double"))
+    all_ = side("text_cree", "cree").join(side("text_en", "english"), "statistic").unionByName(rest)
+    return all_.select((F.array_position(F.array(*map(F.lit, _STATISTICS)), F.col("statistic")) - 1).cast("int").alias("place"), "statistic", "cree", "english")
+
+
+@query(f"""SELECT source, {R.rnd('sum(letters)::DOUBLE / nullif(sum(n), 0)')} AS letters_per_word, {R.rnd('avg(sl)', 3)} AS words_per_sentence FROM (SELECT source, list_sum(list_transform(w, lambda z: length(z))) AS letters, len(w) AS n,
+{R.average(f'list_transform(s, lambda z: len({R.words("z")}))')} AS sl FROM (SELECT source, {R.words('text')} AS w, {R.sentences_bare('text')} AS s FROM {D} WHERE text IS NOT NULL AND source IS NOT NULL)) GROUP BY source""")
 def word_lengths(spark, d):
-    rows = table(spark, d, D).dropna(subset=["text", "source"]).select("source", X.words(F.col("text")).alias("w"))
+    rows = table(spark, d, D).dropna(subset=["text", "source"]).select("source", X.words(F.col("text")).alias("w"), X.sentence_length(F.col("text")).alias("sl"))
     size = F.aggregate("w", F.lit(0), lambda s, x: s + F.length(x))
-    return rows.groupBy("source").agg(X.round_at(F.sum(size) / F.nullif(F.sum(F.size("w")), F.lit(0))).alias("letters_per_word"))
+    return rows.groupBy("source").agg(X.round_at(F.sum(size) / F.nullif(F.sum(F.size("w")), F.lit(0))).alias("letters_per_word"), X.round_at(F.avg("sl"), 3).alias("words_per_sentence"))
 
 
 # Vectors: the first four values of an embedding serve as class logits, the next four as those of a student.
@@ -318,22 +398,28 @@ def weighted_ce(spark, d):
     return x.join(F.broadcast(w), "y").agg(X.round_at(F.sum(F.col("w") * nll) / F.sum("w"), 5).alias("loss"))
 
 
-@query(f"SELECT label, dim::BIGINT AS dim, {R.rnd('avg(x)', 5)} AS mean FROM (SELECT label, unnest(e) AS x, generate_subscripts(e, 1) - 1 AS dim FROM {_EMB}) GROUP BY label, dim")
+# A vector serves as 16 tokens of four values, of which those that begin with a positive value are unmasked.
+_MASKS = "list_transform(range(16), lambda k: CASE WHEN e[k * 4 + 1] > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)"
+
+
+@query("SELECT vec_id, " + ", ".join(R.rnd(f"list_sum(list_transform(range(16), lambda k: e[k * 4 + {i + 1}] * m[k + 1])) / greatest(list_sum(m), 1e-9::DOUBLE)", 5) + f" AS mean_{i}" for i in range(4)) + f" FROM (SELECT vec_id, e, {_MASKS} AS m FROM {_EMB})")
 def mean_pool(spark, d):
-    rows = emb(spark, d).select("label", F.posexplode("e").alias("dim", "x"))
-    return rows.groupBy("label", F.col("dim").cast("bigint").alias("dim")).agg(X.round_at(F.avg("x"), 5).alias("mean"))
+    tokens = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.slice("e", k * 4 + 1, F.lit(4)))
+    rows = emb(spark, d).select("vec_id", tokens.alias("tokens")).withColumn("mask", F.transform("tokens", lambda v: F.when(F.get(v, F.lit(0)) > 0, 1.0).otherwise(0.0)))
+    pooled = rows.select("vec_id", V.masked_mean(F.col("tokens"), F.col("mask"), 4).alias("p"))
+    return pooled.select("vec_id", *(X.round_at(F.get("p", F.lit(i)), 5).alias(f"mean_{i}") for i in range(4)))
 
 
-@query(f"""WITH u AS (SELECT vec_id, label, {_E} AS e FROM embeddings), s AS (SELECT x.vec_id AS i, y.vec_id AS j, list_cosine_similarity(x.e, y.e) / 0.05::DOUBLE AS z FROM u x JOIN u y ON y.vec_id % 2 = 1 AND x.label = y.label WHERE x.vec_id % 2 = 0)
-SELECT label, {R.rnd('avg(loss)', 4)} AS loss FROM (SELECT u.label AS label, m.lse - g.z AS loss FROM (SELECT i, ln(sum(exp(z - 20))) + 20 AS lse FROM s GROUP BY i) m JOIN s g ON g.i = m.i AND g.j = g.i + 1 JOIN u ON u.vec_id = m.i) GROUP BY label""")
+@query(f"""WITH u AS (SELECT vec_id, {_E} AS e FROM embeddings), q AS (SELECT x.vec_id AS i, x.vec_id // {2 * losses.BATCH} AS batch, x.e AS x, y.e AS y FROM u x JOIN u y ON y.vec_id = x.vec_id + 1 WHERE x.vec_id % 2 = 0),
+s AS (SELECT a.batch AS batch, a.i AS i, b.i AS j, list_cosine_similarity(a.x, b.y) / 0.05::DOUBLE AS z FROM q a JOIN q b ON a.batch = b.batch),
+r AS (SELECT batch, avg(l) AS l FROM (SELECT batch, i, ln(sum(exp(z - 20))) + 20 - max(z) FILTER (WHERE i = j) AS l FROM s GROUP BY batch, i) GROUP BY batch),
+c AS (SELECT batch, avg(l) AS l FROM (SELECT batch, j, ln(sum(exp(z - 20))) + 20 - max(z) FILTER (WHERE i = j) AS l FROM s GROUP BY batch, j) GROUP BY batch)
+SELECT r.batch AS batch, {R.rnd('(r.l + c.l) / 2', 4)} AS loss FROM r JOIN c ON r.batch = c.batch""")
 def info_nce(spark, d):
     e = emb(spark, d)
-    x = e.filter(F.col("vec_id") % 2 == 0).select(F.col("vec_id").alias("i"), "label", F.col("e").alias("x"))
-    y = e.filter(F.col("vec_id") % 2 == 1).select(F.col("vec_id").alias("j"), "label", F.col("e").alias("y"))
-    # The batch of a contrastive loss is the label group, so similarities are only taken inside one.
-    s = x.join(y, "label").select("label", "i", "j", (V.cosine(F.col("x"), F.col("y")) / F.lit(0.05)).alias("z"))
-    lse = s.groupBy("label", "i").agg((F.ln(F.sum(F.exp(F.col("z") - 20))) + 20).alias("lse"), F.max(F.when(F.col("j") == F.col("i") + 1, F.col("z"))).alias("gold"))
-    return lse.filter(F.col("gold").isNotNull()).groupBy("label").agg(X.round_at(F.avg(F.col("lse") - F.col("gold")), 4).alias("loss"))
+    x = e.filter(F.col("vec_id") % 2 == 0).select(F.col("vec_id").alias("pair"), F.floor(F.col("vec_id") / (2 * losses.BATCH)).alias("batch"), F.col("e").alias("x"))
+    y = e.filter(F.col("vec_id") % 2 == 1).select((F.col("vec_id") - 1).alias("pair"), F.col("e").alias("y"))
+    return losses.info_nce(x.join(y, "pair")).select("batch", X.round_at(F.col("loss"), 4).alias("loss"))
 
 
 @query(f"SELECT o_orderstatus, {R.rnd('exp(sum(l * n)::DOUBLE / greatest(sum(n), 1))', 5)} AS perplexity FROM (SELECT o_orderstatus, (o_orderkey % 7)::BIGINT AS n, (o_custkey % 5)::BIGINT AS l FROM orders) GROUP BY o_orderstatus")

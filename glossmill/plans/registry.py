@@ -79,8 +79,23 @@ GUESS = f"CASE WHEN {draw('row_id', 'noise')} % 5 = 0 THEN ['literal', 'idiom',
 JUDGED = f"(SELECT row_id, source_file, text_cree, footnote_applies, {strict('label')} AS t, {GUESS} AS p FROM bloomfield_annotated WHERE label IS NOT NULL)"
 
 
-def scores_sql(counts: str, by: tuple[str, ...] = (), places: int = 4) -> str:
+def roll(a: str, b: str) -> str:
+    m = 2147483647
+    x = f"((({a})::BIGINT * 1000003 + ({b})::BIGINT + 1) * 48271 % {m})"
+    return f"(list_reduce([{x}, 3, 5], lambda x, k: (x * x + x * k + 1) % {m}) * 69621 + 12345) % {m}"
+
+
+def sentences_bare(x: str) -> str:
+    return nonempty(f"list_transform(regexp_split_to_array({x}, '[.!?]+'), lambda y: {strip('y')})")
+
+
+def average(a: str) -> str:
+    return f"CASE WHEN len({a}) > 0 THEN list_sum({a})::DOUBLE / len({a}) ELSE 0.0 END"
+
+
+def scores_sql(counts: str, by: tuple[str, ...] = (), places: int | None = 4) -> str:
     """SELECT of the E01 columns from a relation of (by..., t, p, n)."""
+    rnd = globals()["rnd"] if places else lambda x, _: x
     cols, macro = [], {"p": [], "r": [], "f1": []}
     n = lambda cond: f"coalesce(sum(n) FILTER (WHERE {cond}), 0)::BIGINT"
     ratio = lambda a, b: f"coalesce(({a})::DOUBLE / nullif({b}, 0), 0.0)"

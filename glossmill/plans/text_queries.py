@@ -212,7 +212,7 @@ def line_denoise(spark, d):
     return table(spark, d, D).filter(F.col("text").isNotNull()).select("doc_id", X.denoised(F.col("text")).alias("body"))
 
 
-_BLOCK = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?m)^[ \\t]*\\d+ {2,}', '', 'g'), '  +', ' ', 'g'), '-[ \\t]*\\n[\\s\\x0b]*', '', 'g'), '[\\s\\x0b]*\\n[\\s\\x0b]*', ' ', 'g')"
+_BLOCK = f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?m)^{R.WS}*\\p{{Nd}}+{R.WS}{{2,}}', '', 'g'), '  +', ' ', 'g'), '-{R.WS}*\\n{R.WS}*', '', 'g'), '{R.WS}*\\n{R.WS}*', ' ', 'g')"
 
 
 @query(f"SELECT doc_id, {R.strip(_BLOCK)} AS body FROM {D} WHERE text IS NOT NULL")
@@ -335,18 +335,34 @@ def config_keys(spark, d):
     return o.select("o_orderkey", F.array_join(F.transform(F.map_entries(kept), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("config"))
 
 
-# HTML: pages are rendered from paragraph rows, the same way on both sides.
+# HTML: pages are rendered from paragraph rows, the same way on both sides, with texts escaped.
 
-_PAGE = """'<html><a href="/texts/' || coalesce(source_file, 'none') || '.html">x</a><a href="#top">y</a><p class="cree" id="p' || row_id || '"><strong>(' || paragraph_num || ')</strong> ' || text_en || '<sup>2</sup></p><p>more</p><p class="footnote"><sup>2</sup> note ' || row_id || '</p></html>'"""
+
+def _esc(x: str) -> str:
+    return f"replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+def escaped(x):
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        x = F.replace(x, F.lit(a), F.lit(b))
+    return x
+
+
+_PAGE = f"""'<html><a href="/texts/' || coalesce({_esc('source_file')}, 'none') || '.html">x</a><a class=z href=''#top''>y</a><p class="paragraph crk" id="' || paragraph_num || '">' || {_esc('text_cree')} || '<sup>2</sup></p><p class="paragraph crk">no number</p><p>more</p><p class="footnote"><sup>2</sup> note ' || row_id || '</p><p class=''eng paragraph''><strong>(' || paragraph_num || ')</strong> ' || {_esc('text_en')} || '</p><p>after</p></html>'"""
 
 
 def pages(spark, d):
-    rows = table(spark, d, P).dropna(subset=["text_en", "paragraph_num"]).filter(~F.col("text_en").rlike("[<>&]"))
-    body = [F.lit('<html><a href="/texts/'), F.coalesce("source_file", F.lit("none")), F.lit('.html">x</a><a href="#top">y</a><p class="cree" id="p'), F.col("row_id").cast("string"), F.lit('"><strong>('), F.col("paragraph_num").cast("string"), F.lit(")</strong> "), F.col("text_en"), F.lit('<sup>2</sup></p><p>more</p><p class="footnote"><sup>2</sup> note '), F.col("row_id").cast("string"), F.lit("</p></html>")]
-    return rows.select("row_id", "paragraph_num", "text_en", F.concat(*body).alias("html"))
+    rows = table(spark, d, P).dropna(subset=["text_cree", "text_en", "paragraph_num"])
+    c = lambda s: F.lit(s)
+    num = F.col("paragraph_num").cast("string")
+    body = [
+        c('<html><a href="/texts/'), F.coalesce(escaped(F.col("source_file")), c("none")), c(""".html">x</a><a class=z href='#top'>y</a><p class="paragraph crk" id=\""""), num, c('">'), escaped(F.col("text_cree")),
+        c('<sup>2</sup></p><p class="paragraph crk">no number</p><p>more</p><p class="footnote"><sup>2</sup> note '), F.col("row_id").cast("string"), c("</p><p class='eng paragraph'><strong>("), num, c(")</strong> "), escaped(F.col("text_en")), c("</p><p>after</p></html>"),
+    ]
+    return rows.select("row_id", "paragraph_num", "text_cree", "text_en", F.concat(*body).alias("html"))
 
 
-_PAGES = f"(SELECT row_id, paragraph_num, text_en, {_PAGE} AS html FROM {P} WHERE text_en IS NOT NULL AND paragraph_num IS NOT NULL AND NOT regexp_matches(text_en, '[<>&]'))"
+_PAGES = f"(SELECT row_id, paragraph_num, text_cree, text_en, {_PAGE} AS html FROM {P} WHERE text_cree IS NOT NULL AND text_en IS NOT NULL AND paragraph_num IS NOT NULL)"
 
 
 @query(f"SELECT row_id, unnest(list_filter(regexp_extract_all(html, '<a[^>]*href=\"([^\"]*)\"', 1), lambda z: ends_with(z, '.html'))) AS href FROM {_PAGES}")
@@ -354,8 +370,10 @@ def page_links(spark, d):
     return pages(spark, d).select("row_id", F.explode(F.filter(html.links(F.col("html")), lambda x: x.endswith(".html"))).alias("href"))
 
 
-@query(f"""SELECT row_id, pos, cls, paragraph_num AS num, body FROM (SELECT row_id, paragraph_num, 0::BIGINT AS pos, 'cree' AS cls, {R.collapse('text_en')} AS body FROM {_PAGES}
-UNION ALL SELECT row_id, paragraph_num, 1, '', 'more' FROM {_PAGES} UNION ALL SELECT row_id, paragraph_num, 2, 'footnote', 'note ' || row_id FROM {_PAGES})""")
+_BOTH = f"(SELECT row_id, paragraph_num, {R.collapse('text_cree')} AS c, {R.collapse('text_en')} AS e FROM {_PAGES})"
+
+
+@query(f"SELECT row_id, paragraph_num, CASE WHEN c = '' THEN 'more' ELSE c || chr(10) || 'more' END AS text_cree, e AS text_en, '[2] note ' || row_id AS footnote_en FROM {_BOTH}")
 def page_paragraphs(spark, d):
     return html.page_paragraphs(pages(spark, d), "row_id", "html")
 
@@ -370,17 +388,24 @@ def page_sup_refs(spark, d):
     return pages(spark, d).select("row_id", F.explode(html.superscripts(F.col("html"))).alias("ref"))
 
 
-@query(f"SELECT row_id, {R.collapse('text_en')} AS body FROM {_PAGES}")
+@query(f"SELECT row_id, e AS body FROM {_BOTH}")
 def page_visible_text(spark, d):
-    part = F.concat(F.lit("<strong>(1)</strong> "), "text_en", F.lit("<sup>2</sup>"))
+    part = F.concat(F.lit("<p> <strong>(1)</strong> "), escaped(F.col("text_en")), F.lit("<sup>2</sup></p>"))
     return pages(spark, d).select("row_id", html.visible_text(part).alias("body"))
 
 
-@query("SELECT token, e.lemma AS lemma, e.pos AS pos, len(e.definitions)::INTEGER AS n FROM (SELECT token, unnest(entries) AS e FROM dictionary) WHERE len(e.definitions) > 0 AND e.lemma IS NOT NULL")
+@query("SELECT token, e.lemma AS lemma, e.pos AS pos, 'Kind of ' || e.pos AS pos_label, e.definitions[1] AS first, len(e.definitions)::INTEGER AS n FROM (SELECT token, unnest(entries) AS e FROM dictionary) WHERE len(e.definitions) > 0 AND e.lemma IS NOT NULL AND e.pos IS NOT NULL")
 def page_sections(spark, d):
-    e = lambda x: F.concat(F.lit('<div class="definition"><span class="lemma">'), x["lemma"], F.lit('</span><i class="wordclass">'), x["pos"], F.lit("</i><ol>"), F.array_join(F.transform(x["definitions"], lambda y: F.concat(F.lit("<li>"), y, F.lit("</li>"))), ""), F.lit("</ol></div>"))
-    rows = table(spark, d, "dictionary").filter(F.size("entries") > 0).select("token", F.array_join(F.transform("entries", e), "").alias("html"))
-    return rows.select("token", F.explode(html.dictionary_entries("html")).alias("e")).select("token", "e.lemma", "e.pos", F.size("e.definitions").alias("n"))
+    def entry(x):
+        item = lambda y: F.concat(F.lit("<li>\n "), escaped(y), F.lit(" <cite>MD</cite></li>"))
+        return F.concat(
+            F.lit('<li class="x search-results__result"><h2 class="definition-title__title"><a href="#">'), escaped(x["lemma"]), F.lit("</a></h2><div class='definition__elaboration'><i>"), x["pos"],
+            F.lit(' - more</i></div><span class="wordclass">\U0001f333 Kind of '), x["pos"], F.lit('</span><ol class="meanings">'), F.array_join(F.transform(x["definitions"], item), ""), F.lit("</ol></li>"),
+        )
+
+    rows = table(spark, d, "dictionary").filter(F.size("entries") > 0)
+    rows = rows.select("token", F.concat(F.lit("<ul>"), F.array_join(F.transform("entries", entry), ""), F.lit("</ul>")).alias("html"))
+    return rows.select("token", F.explode(html.dictionary_entries("html")).alias("e")).select("token", "e.lemma", "e.pos", "e.pos_label", F.get("e.definitions", F.lit(0)).alias("first"), F.size("e.definitions").alias("n"))
 
 
 # Alignment and parsing

@@ -120,23 +120,37 @@ def test_fragments(spark):
     assert got == ["one two three four five six seven eight.", ". Then more words and an end"]
 
 
-def test_example_pairs_use_up_the_translation():
+def test_example_pairs_use_up_the_translation(spark):
     lines = ["Chapter 2", "", "  1. nōhkom nikamow.", "", "     Grandmother sings.", "12", "ēkwa nipāw   And she sleeps", "kīsikāw mīna", "Nothing else", "kīsikāw anohc"]
-    assert parse.example_pairs(lines) == [("nōhkom nikamow.", "Grandmother sings."), ("ēkwa nipāw", "And she sleeps"), ("kīsikāw mīna", "Nothing else")]
+    df = spark.createDataFrame([(1, "\n".join(lines)), (2, None), (3, ""), (4, "nīpin ēsa\nsummer\rmīna pōna\r\nwinter too")], "k int, t string")
+    got = rows(parse.grammar_examples(df, "k", "t"))
+    assert [r[2:] for r in got if r[0] == 1] == [("nōhkom nikamow.", "Grandmother sings."), ("ēkwa nipāw", "And she sleeps"), ("kīsikāw mīna", "Nothing else")]
+    assert [r for r in got if r[0] != 1] == [(4, 0, "nīpin ēsa", "summer"), (4, 1, "mīna pōna", "winter too")]
+
+
+def test_a_line_of_both_languages_that_served_is_no_pair(spark):
+    # The first line takes the second, which has a pair of its own; "x" lines take none.
+    text = "kīsikāw mīna\nplain gloss   of this one\nkīsikāw anohc\nGloss\nnipāw ēkwa   she sleeps"
+    got = rows(parse.grammar_examples(spark.createDataFrame([(1, text)], "k int, t string"), "k", "t").select("cree", "en"))
+    assert got == [("kīsikāw anohc", "Gloss"), ("kīsikāw mīna", "plain gloss of this one"), ("nipāw ēkwa", "she sleeps")]
 
 
 def test_html(spark):
-    page = '<p class="cree"><strong>(3)</strong> a<b>b</b> &amp; c<sup>2</sup></p><p>more</p>'
-    df = spark.createDataFrame([(1, page), (2, None)], "k int, html string")
-    assert rows(html.page_paragraphs(df, "k", "html").select("cls", "num")) == [("", 3), ("cree", 3)]
+    page = """<p class='crk paragraph' id='3'>a<b>b</b> &amp; c &lt;i&gt;<sup>2</sup></p><p>more<sup> 9 </sup></p><p class="footnote"><sup>9</sup> nine</p><p class=footnote><sup>2</sup> old</p>
+    <p class="footnote"><sup>2</sup> two <sup>x</sup></p><p class="paragraph crk" id="x4">none</p><p class="paragraph eng"><strong>(3)</strong> en <strong>kept</strong></p><p>not taken</p><p class="paragraph eng"><strong>7</strong> only</p><!-- <p id="8" class="paragraph crk">gone</p> -->"""
+    df = spark.createDataFrame([(1, page), (2, None), (3, ""), (4, '<p class="paragraph eng"><strong>(5)</strong> lost</p><p class="paragraph crk" id="5"></p><p class="paragraph eng"><strong>(5)</strong> k</p>')], "k int, html string")
+    assert rows(html.page_paragraphs(df, "k", "html")) == [(1, 3, "a b & c <i>\nmore", "en kept", "[2] two x\n[9] nine"), (1, 7, "", "only", ""), (4, 5, "", "k", "")]
+    assert rows(html.footnotes(df, "k", "html")) == [(1, 2, "two x"), (1, 9, "nine")]
     got = df.select(html.visible_text("html").alias("t")).collect()
-    assert got[0]["t"] == "a b & c more" and got[1]["t"] is None
+    assert got[0]["t"].startswith("a b & c <i> more nine") and got[1]["t"] is None and got[2]["t"] == ""
 
 
 def test_dictionary_html(spark):
-    raw = '<div class="definition"><b class="lemma">x</b><ol><li>one</li><li> two </li></ol></div><div class="definition"><b class="lemma">y</b></div>'
-    got = spark.createDataFrame([(raw,)], "h string").select(html.dictionary_entries("h").alias("e")).collect()[0][0]
-    assert [(e["lemma"], e["definitions"]) for e in got] == [("x", ["one", "two"])]
+    raw = """<ul><li class='search-results__result'><h2 class="a definition-title__title">x &amp; y</h2><div class="definition__elaboration"> <b>NA-1</b> more</div><span class="wordclass">\U0001f333 Naming word</span>
+    <ol class="meanings"><li> one <cite>A</cite></li><li><i>two</i> B</li><li></li></ol></li><li class="search-results__result"><h2 class="definition-title__title">y</h2></li><li class="search-results__result"><ol class="meanings"><li>z</li></ol></li></ul>"""
+    got = spark.createDataFrame([(raw,), (None,), ("",)], "h string").select(html.dictionary_entries("h").alias("e")).collect()
+    assert [tuple(e) for e in got[0][0]] == [("x & y", "NA-1", "Naming word", ["one", "two"])]
+    assert not got[1][0] and got[2][0] == []
 
 
 def labelled(spark, truth, guess):

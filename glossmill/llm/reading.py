@@ -1,10 +1,11 @@
 """Reading level of each document.
 
 Method: classic readability formulas (Flesch-Kincaid, Gunning fog, SMOG, automated readability
-index, Coleman-Liau) from sentence length and syllable counts by hyphenation-style rules; the five
-grade estimates are reported with their median. A median alone takes long everyday words in short
-sentences for hard and rare short words for easy, so the grade of a document is the median grade of
-the labelled documents that are nearest to it in all five estimates together.
+index, Coleman-Liau) from sentence length and syllable counts by hyphenation-style rules, combined
+by the median of their grade estimates. A formula adds up a sentence term and a word term; long
+everyday words in short sentences and rare short words in long ones can have the same sum, so each
+formula's grade is read off the plane of its two terms, where labelled documents of one grade lie
+together, and not off a scale of sums. The document's grade is the median of the five grades.
 """
 
 from __future__ import annotations
@@ -71,34 +72,40 @@ def measures(docs: DataFrame) -> DataFrame:
     types = "doc_id bigint, lang string, sentences int, words bigint, letters bigint, syllables bigint, long_words bigint, function_words bigint"
     c = rows.mapInArrow(_counts, types)
     w, s = F.nullif(F.col("words"), F.lit(0)).cast("double"), F.col("sentences").cast("double")
-    grades = F.array(
-        0.39 * w / s + 11.8 * F.col("syllables") / w - 15.59,
-        0.4 * (w / s + 100 * F.col("long_words") / w),
-        1.043 * F.sqrt(F.col("long_words") * 30 / s) + 3.1291,
-        4.71 * F.col("letters") / w + 0.5 * w / s - 21.43,
-        5.88 * F.col("letters") / w - 29.6 * s / w - 15.8,
-    )
+    terms = [
+        (0.39 * w / s, 11.8 * F.col("syllables") / w, -15.59),
+        (0.4 * w / s, 40 * F.col("long_words") / w, 0.0),
+        (1.043 * F.sqrt(F.col("long_words") * 30 / s), F.lit(0.0), 3.1291),
+        (0.5 * w / s, 4.71 * F.col("letters") / w, -21.43),
+        (-29.6 * s / w, 5.88 * F.col("letters") / w, -15.8),
+    ]
     english = F.coalesce(F.col("lang") == "en", F.col("function_words") >= 0.15 * F.col("words")) & (F.col("words") > 0)
-    estimates = F.when(F.col("words") > 0, grades)
-    return c.select("doc_id", english.alias("english"), "words", "sentences", estimates.alias("estimates"), F.element_at(F.array_sort(estimates), 3).alias("score"))
+    estimates = F.when(F.col("words") > 0, F.array(*(a + b + c for a, b, c in terms)))
+    flat = F.when(F.col("words") > 0, F.array(*(x for a, b, _ in terms for x in (a, b))))
+    return c.select("doc_id", english.alias("english"), "words", "sentences", flat.alias("terms"), estimates.alias("estimates"), F.element_at(F.array_sort(estimates), 3).alias("score"))
+
+
+def grades_of(terms: np.ndarray, points: np.ndarray, grades: np.ndarray) -> np.ndarray:
+    """Grade of each row of terms (rows, formulas, 2): the median over formulas of the median grade of the labelled documents nearest in the formula's plane."""
+    near = min(NEIGHBOURS, len(grades))
+    each = np.empty((len(terms), FORMULAS))
+    for j in range(FORMULAS):
+        mine = points[:, j]
+        squares = (mine**2).sum(axis=1)
+        far = squares[None, :] - 2 * terms[:, j] @ mine.T
+        closest = np.argpartition(far, near - 1, axis=1)[:, :near]
+        each[:, j] = np.floor(np.median(grades[closest], axis=1) + 0.5)
+    return np.floor(np.median(each, axis=1) + 0.5).astype(np.int32)
 
 
 def _graded(shared):
     def run(batches):
         points, grades, mean, scale = shared.value
-        squares = (points**2).sum(axis=1)
-        near = min(NEIGHBOURS, len(grades))
         for batch in batches:
-            rows = np.asarray(batch.column(2).flatten()).reshape(-1, FORMULAS)
             known = np.asarray(batch.column(2).is_valid())
+            rows = (np.asarray(batch.column(2).flatten()).reshape(-1, FORMULAS, 2) - mean) / scale
             level = np.zeros(batch.num_rows, np.int32)
-            rows = (rows - mean) / scale
-            found = np.empty(len(rows), np.int32)
-            for start in range(0, len(rows), 1024):
-                far = squares[None, :] - 2 * rows[start : start + 1024] @ points.T
-                closest = np.argpartition(far, near - 1, axis=1)[:, :near]
-                found[start : start + 1024] = np.floor(np.median(grades[closest], axis=1) + 0.5)
-            level[known] = found
+            level[known] = np.concatenate([grades_of(rows[k : k + 1024], points, grades) for k in range(0, len(rows), 1024)] or [np.zeros(0, np.int32)])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(level, mask=~known)], names=["doc_id", "english", "score", "grade"])
 
     return run
@@ -107,16 +114,15 @@ def _graded(shared):
 def levels(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, english, score, grade 1 to 5) of each document; score and grade are NULL for documents without words.
 
-    The grade is the median grade of the labelled English documents whose five estimates are nearest,
-    from a bounded sample of them. Without any labels the grades are NULL.
+    Labelled documents are a bounded sample of the English ones. Without any labels the grades are NULL.
     """
     spark = docs.sparkSession
     found = written(measures(docs))
     sample = labels.filter(F.col("doc_id").isNotNull() & F.col("grade").isNotNull()).select("doc_id", "grade").distinct().orderBy(F.xxhash64("doc_id", "grade"), "doc_id").limit(MAX_LABELS)
-    known = found.filter("english").join(F.broadcast(sample), "doc_id").select("estimates", "grade").collect()
+    known = found.filter("english").join(F.broadcast(sample), "doc_id").select("terms", "grade").collect()
     if not known:
         return found.select("doc_id", "english", "score", F.lit(None).cast("int").alias("grade"))
-    points = np.array([r[0] for r in known], np.float64)
+    points = np.array([r[0] for r in known], np.float64).reshape(-1, FORMULAS, 2)
     mean, scale = points.mean(axis=0), np.maximum(points.std(axis=0), 1e-6)
     shared = spark.sparkContext.broadcast(((points - mean) / scale, np.array([r[1] for r in known], np.float64), mean, scale))
-    return found.select("doc_id", "english", "estimates", "score").mapInArrow(_graded(shared), "doc_id bigint, english boolean, score double, grade int")
+    return found.select("doc_id", "english", "terms", "score").mapInArrow(_graded(shared), "doc_id bigint, english boolean, score double, grade int")

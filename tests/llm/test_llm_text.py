@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -215,3 +216,15 @@ def test_reading_levels(spark):
     none = reading.levels(spark.createDataFrame(data, DOCS), labels.limit(0)).collect()
     assert all(r["grade"] is None for r in none)
     assert reading.levels(spark.createDataFrame([], DOCS), labels).count() == 0
+
+
+def test_grades_tell_equal_sums_apart():
+    # Each formula adds its two terms to the same sum for both kinds of documents; one formula errs and is outvoted.
+    low, high = np.tile([1.0, 9.0], (5, 1)), np.tile([9.0, 1.0], (5, 1))
+    points = np.stack([low + 0.01 * i for i in range(6)] + [high + 0.01 * i for i in range(6)])
+    grades = np.array([2.0] * 6 + [5.0] * 6)
+    assert reading.grades_of(np.stack([low, high]), points, grades).tolist() == [2, 5]
+    astray = low.copy()
+    astray[2] = high[2]
+    assert reading.grades_of(astray[None], points, grades).tolist() == [2]
+    assert reading.grades_of(low[None], points[:1], grades[:1]).tolist() == [2]

@@ -77,6 +77,41 @@ def test_long_tokens_are_tested_for_abbreviations(spark):
     assert len(got[8]) == 2
 
 
+def found_sentences(spark, data):
+    got = {}
+    for r in sorted(sentences.sentences(spark.createDataFrame(data, TEXTS)).collect(), key=lambda r: (r["row_id"], r["sent_start"])):
+        got.setdefault(r["row_id"], []).append(data[r["row_id"]][3][r["sent_start"] : r["sent_end"]])
+    return got
+
+
+NAMED = "We met Kisowat here. The bear saw Kisowat. He and Kisowat left with the dog."
+
+
+def test_proper_names_from_document_and_corpus(spark, monkeypatch):
+    en = [
+        "He took vitamin A. The dog left.", "Then A. Kisowat left.", "“Go!” Kisowat said. The end.", "“Go!” Kisowat said: “No!” The end.", "“Go!” The dog said nothing of it, said he.",
+        NAMED, NAMED, "The dog saw the end of the dog and the end. They met, said he. “No,” said he. “Yes,” said he.",
+        # In its own document Brown is a colour, in the corpus a name.
+        "Then B. Brown left.",
+    ] + ["We saw Brown there."] * 9
+    data = [(i, "f", None, t, "", "") for i, t in enumerate(en)]
+    own = [(len(en) + i, "g", None, t, "", "") for i, t in enumerate(["He sat by plan B. Brown dogs left.", "A brown dog and a brown bear, a brown fox. The brown end."])]
+    got = found_sentences(spark, data + own)
+    assert got[0] == ["He took vitamin A.", "The dog left."] and got[1] == [en[1]] and got[8] == [en[8]]
+    assert got[2] == ["“Go!” Kisowat said.", "The end."] and got[3] == ["“Go!”", "Kisowat said: “No!”", "The end."]
+    assert got[len(en)] == ["He sat by plan B.", "Brown dogs left."]
+    monkeypatch.setattr(sentences, "MAX_TABLE", 0)
+    assert found_sentences(spark, data + own) == got
+
+
+@pytest.mark.parametrize(
+    ("text", "n"),
+    [("猫が来た。犬も来た！終わり", 3), ("ᐊᐢᑭ᙮ ᓂᔭ᙮", 2), ("Roman ᙮ text 。 here", 1), ("राम आया। वह गया॥", 2), ("جاء الولد۔ هل ذهب؟ نعم", 3), ("Ես եկա։ Դու գնացիր։", 2), ("ሰላም። ነው።", 2)],
+)
+def test_terminators_follow_the_script(text, n):
+    assert len(cut(text, cased=False)) == n
+
+
 def test_rare_reporting_words_count_in_large_tables(spark):
     rows = [(1, "f", None, "“Go,” said he. " * 6100, "", ""), (2, "f", None, "“Go,” cried he. “No,” cried she.", "", "")]
     sides = sentences._sides(spark.createDataFrame(rows, TEXTS))

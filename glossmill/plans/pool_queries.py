@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from glossmill.functions import labels as L
 from glossmill.functions import text as X
-from glossmill.operators import incremental, metrics, pool, sample
+from glossmill.operators import incremental, metrics, pool, sample, skew
 from glossmill.plans import registry as R
 from glossmill.plans.registry import query
 from glossmill.plans.text_queries import POOL_SQL
@@ -28,7 +28,8 @@ FROM {G} g JOIN {V} v ON g.text_cree = v.text_cree""")
 def agree_join(spark, d):
     g = rows_of(spark, d, G, F.col("row_id").alias("gold_row"), "text_cree", "label")
     v = rows_of(spark, d, V, F.col("row_id").alias("silver_row"), "text_cree", "deepseek_label")
-    return g.join(v, "text_cree").select("gold_row", "silver_row", "label", "deepseek_label", (F.col("label") == F.col("deepseek_label")).alias("agree"))
+    # One silver text may have very many copies.
+    return skew.salted(v, g, ["text_cree"], "silver_row").select("gold_row", "silver_row", "label", "deepseek_label", (F.col("label") == F.col("deepseek_label")).alias("agree"))
 
 
 @query(f"""SELECT (SELECT count(*) FROM {G}) - (SELECT count(*) FROM {G} g JOIN {V} v ON g.text_cree = v.text_cree) AS left_dropped,

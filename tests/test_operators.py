@@ -229,6 +229,14 @@ def test_attach_with_a_hot_key(spark):
     assert skew.attach(df, groups, ["key"], "n").count() == 3000
 
 
+def test_salted_joins_equal_plain_ones(spark):
+    df = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i % 50}") for i in range(6000)] + [(9000 + i, None) for i in range(5)], "id int, key string")
+    other = spark.createDataFrame([("hot", 1), ("hot", 2), ("k3", 3), (None, 4)], "key string, v int")
+    for how in ("inner", "left"):
+        assert sorted(map(repr, skew.salted(df, other, ["key"], "id", how).select("id", "key", "v").collect())) == sorted(map(repr, df.join(other, "key", how).select("id", "key", "v").collect()))
+    assert skew.salted(df.limit(0), other, ["key"], "id").count() == 0
+
+
 def test_stories(spark):
     cree = "Êkwa kisêyiniw kî-pê-itohtêw ôta mîna."
     en = "And then the old man came to this place and said it to them all."

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossmill.operators.skew import attach
+from glossmill.operators.skew import attach, salted
 from glossmill.session import cut, written
 
 # Letters of other scripts drawn like Latin ones, from the Unicode table of confusables.
@@ -131,9 +131,23 @@ def lookalikes(rows: DataFrame, id_col: str = "row_id", text_col: str = "text_cr
     """
     both = normalized(rows, id_col, text_col).filter(F.col("text").isNotNull() & F.col("row_id").isNotNull())
     hashed = written(both.select("row_id", F.unhex(F.md5("form")).alias("form"), F.unhex(F.md5("text")).alias("spelling")))
-    mixed = hashed.groupBy("form").agg(F.min("spelling").alias("a"), F.max("spelling").alias("b"), F.count("*").alias("n"))
-    mixed = mixed.filter(F.col("a") != F.col("b")).select("form", "n")
-    left = cut(attach(hashed, mixed, ["form"], "n").drop("n"))
-    x, y = left.alias("x"), left.alias("y")
-    pairs = x.join(y, (F.col("x.form") == F.col("y.form")) & (F.col("x.spelling") != F.col("y.spelling")) & (F.col("x.row_id") < F.col("y.row_id")))
-    return pairs.select(F.col("x.row_id").alias("row_id_a"), F.col("y.row_id").alias("row_id_b"))
+    classes = cut(hashed.groupBy("form", "spelling").agg(F.count("*").alias("n")))
+    x, y = classes.select("form", F.col("spelling").alias("a")), classes.select("form", F.col("spelling").alias("b"))
+    # Spellings of one form, each pair of them once, are expanded to rows; a spelling with very many rows is spread.
+    pairs = salted(x.withColumn("at", F.xxhash64("a")), y, ["form"], "at").filter(F.col("a") < F.col("b")).select("a", "b")
+    for c in ("a", "b"):
+        pairs = salted(hashed.select(F.col("spelling").alias(c), F.col("row_id").alias(f"row_{c}")), pairs, [c], f"row_{c}")
+    return pairs.select(F.least("row_a", "row_b").alias("row_id_a"), F.greatest("row_a", "row_b").alias("row_id_b"))
+
+
+def spellings(rows: DataFrame, id_col: str = "row_id", text_col: str = "text_cree") -> DataFrame:
+    """Class form of the pairs: (row_id, form_id, links) of every row with a text; form_id is the least row_id of its form, links the number of rows drawn alike but stored otherwise.
+
+    Only sizes of forms and spellings meet the rows, so nothing grows with the square of a form.
+    """
+    both = normalized(rows, id_col, text_col).filter(F.col("text").isNotNull() & F.col("row_id").isNotNull())
+    hashed = written(both.select("row_id", F.unhex(F.md5("form")).alias("form"), F.unhex(F.md5("text")).alias("spelling")))
+    classes = cut(hashed.groupBy("form", "spelling").agg(F.count("*").alias("n"), F.min("row_id").alias("least")))
+    forms = classes.groupBy("form").agg(F.sum("n").alias("all"), F.min("least").alias("form_id"))
+    sizes = classes.join(forms, "form").select("spelling", "n", "form_id", (F.col("all") - F.col("n")).alias("links"))
+    return attach(hashed, sizes, ["spelling"], "n").select("row_id", "form_id", "links")

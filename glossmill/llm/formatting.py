@@ -7,6 +7,7 @@ and aggregate counts with map-side combining and collision checks.
 from __future__ import annotations
 
 import unicodedata
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -15,8 +16,27 @@ from pyspark.sql import functions as F
 from glossmill.operators.skew import attach
 from glossmill.session import written
 
-# Texts of these characters only are already in composed form; any other passes through the normalizer.
-_COMPOSED = r"^[\x00-\x{24F}\x{1400}-\x{167F}\x{2010}-\x{2027}\x{2030}-\x{205E}]*$"
+RANGES = ((0x00, 0x250), (0x1400, 0x1680), (0x2010, 0x2028), (0x2030, 0x205F))  # characters of most texts
+
+
+def _same(c: str) -> bool:
+    """Whether a text of such characters keeps its letters under normalization: the character is its own form and composes with none before it, or neither holds a letter, mark or number."""
+    form = unicodedata.normalize("NFKC", c)
+    kept = [unicodedata.category(x)[0] in "LMN" for x in (c, *form)]
+    return (form == c and unicodedata.combining(c) == 0) or not any(kept)
+
+
+@lru_cache(maxsize=1)
+def plain_texts() -> str:
+    """Pattern of the texts that need no normalizer: no character of theirs is changed by it, so every text has the normalizer's form."""
+    codes = [c for a, b in RANGES for c in range(a, b) if _same(chr(c))]
+    runs: list[list[int]] = []
+    for c in codes:
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "^[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in runs) + "]*$"
 
 
 def _nfkc(batches):
@@ -29,13 +49,14 @@ def _nfkc(batches):
 
 def letters(text: Column) -> Column:
     """Letters, digits and their diacritics of a text in order, in lower case; NULL counts as empty."""
-    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}\p{M}]+", "")
+    bare = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}\p{M}]+", "")
+    return F.translate(bare, "ς", "σ")  # the lower case of this letter depends on what follows it
 
 
 def canonical(df: DataFrame, id_col: str, left: str, right: str) -> DataFrame:
     """``row_id`` with the 128-bit key and a second, independent check hash of its canonical record."""
     rows = df.select(F.col(id_col).alias("row_id"), F.col(left).alias("l"), F.col(right).alias("r")).filter(F.col("row_id").isNotNull())
-    plain = F.coalesce(F.col("l"), F.lit("")).rlike(_COMPOSED) & F.coalesce(F.col("r"), F.lit("")).rlike(_COMPOSED)
+    plain = F.coalesce(F.col("l"), F.lit("")).rlike(plain_texts()) & F.coalesce(F.col("r"), F.lit("")).rlike(plain_texts())
     other = rows.filter(~plain).mapInArrow(_nfkc, rows.schema)
     both = rows.filter(plain).unionByName(other).select("row_id", letters(F.col("l")).alias("l"), letters(F.col("r")).alias("r"))
     record = F.concat_ws("\x1f", F.least("l", "r"), F.greatest("l", "r"))

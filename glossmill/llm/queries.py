@@ -15,6 +15,10 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return splits.shared_split_pairs(table(spark, d, "bloomfield_texts_sentences").select("source_file", "paragraph_id"))
 
 
+def p1_groups(spark: SparkSession, d: str) -> DataFrame:
+    return splits.tied_groups(table(spark, d, "bloomfield_texts_sentences").select("source_file", "paragraph_id"))
+
+
 def p1_splits(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "bloomfield_texts_sentences").select("row_id", "source_file", "paragraph_id", "text_cree")
     script = F.when(F.col("text_cree").rlike(r"[\x{1400}-\x{167F}]"), "syllabic").when(F.col("text_cree").isNull(), "none").otherwise("roman")
@@ -73,6 +77,10 @@ def p6_forms(spark: SparkSession, d: str) -> DataFrame:
     return confusables.normalized(table(spark, d, "bloomfield_texts_sentences")).select("row_id", "form")
 
 
+def p6_classes(spark: SparkSession, d: str) -> DataFrame:
+    return confusables.spellings(table(spark, d, "bloomfield_texts_sentences"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return alignment.misaligned(table(spark, d, "bloomfield_texts_sentences"), table(spark, d, "dictionary"))
 

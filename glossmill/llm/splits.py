@@ -9,14 +9,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from glossmill.operators.skew import attach
+from glossmill.operators.skew import attach, salted
 from glossmill.session import cut, written
 
 BLANK = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+"
-MAX_LABELS = 100  # strata; more raise an error
-LARGE = 1000  # groups above 1/LARGE of all rows are placed one by one; there are no more than LARGE
+MAX_LABELS = 100  # strata: the most frequent labels; all others together are the last one
+OTHER = "(other)"
+LARGE = 1000  # groups below 1/LARGE of all rows are placed in bundles, so that there are few units to place
+BUNDLES = 256  # bundles of groups of one main label
 
 
 def file_name(source: Column) -> Column:
@@ -66,6 +67,14 @@ def shared_split_pairs(rows: DataFrame) -> DataFrame:
     return both.select(F.col("a.stored").alias("source_file_a"), F.col("b.stored").alias("source_file_b"))
 
 
+def tied_groups(rows: DataFrame) -> DataFrame:
+    """Class form of the pairs: (source_file, grp, links) of each stored value: its group and the number of other values tied to it."""
+    stored, _ = tied_files(rows)
+    stored = cut(stored.select("stored", "label"))
+    sizes = stored.groupBy("label").agg(F.count("*").alias("n"))
+    return stored.join(sizes, "label").select(F.col("stored").alias("source_file"), F.col("label").alias("grp"), (F.col("n") - 1).alias("links"))
+
+
 def grouped(rows: DataFrame, id_col: str, label: Column) -> DataFrame:
     """(row_id, grp, label) of every row.
 
@@ -77,63 +86,60 @@ def grouped(rows: DataFrame, id_col: str, label: Column) -> DataFrame:
     by_paragraph = edges.groupBy("hub").agg(F.min("node").alias("node")).join(named, "node").select(F.col("hub").alias("paragraph"), F.col("label").alias("grp_p"))
     base = rows.select(F.col(id_col).alias("row_id"), file_name(F.col("source_file")).alias("node"), F.col("paragraph_id").alias("paragraph"), label.alias("stratum"))
     # A paragraph's rows are tied to its named rows, so the paragraph decides for all rows that have one.
-    with_p = base.join(by_paragraph, "paragraph", "left").join(named.withColumnRenamed("label", "grp_f"), "node", "left")
+    # Rows without paragraph or file, and those of a file with a third of all rows, are spread.
+    with_p = salted(written(salted(written(base), by_paragraph, ["paragraph"], "row_id", "left")), named.withColumnRenamed("label", "grp_f"), ["node"], "row_id", "left")
     grp = F.coalesce("grp_p", "grp_f", F.concat(F.lit("paragraph "), F.col("paragraph").cast("string")), F.concat(F.lit("row "), F.col("row_id").cast("string")))
     return with_p.select("row_id", grp.alias("grp"), F.coalesce("stratum", F.lit("none")).alias("label"))
 
 
 def place(sizes: list[tuple], shares: list[float], totals: dict[str, int]) -> dict[str, int]:
-    """Split of each large group (grp, {label: rows}), largest first, each where the squared deviation from the wanted counts per label grows least."""
+    """Split of each unit (name, {label: rows}), largest first, each where the deviation from the wanted counts grows least.
+
+    The deviation is the sum over labels of squared differences, each over the wanted count, and that
+    of all rows together, which weighs as much as all labels do.
+    """
     filled = [dict.fromkeys(totals, 0) for _ in shares]
+    rows, whole = [0] * len(shares), sum(totals.values())
     placed = {}
-    for grp, counts in sorted(sizes, key=lambda x: (-sum(x[1].values()), x[0])):
-        def cost(i: int, counts=counts) -> float:
-            return sum(
-                ((filled[i][k] + counts.get(k, 0) - shares[i] * n) ** 2 - (filled[i][k] - shares[i] * n) ** 2) / max(1.0, shares[i] * n) for k, n in totals.items()
-            )
-        best = min(range(len(shares)), key=cost)
-        placed[grp] = best
-        for k, n in counts.items():
-            filled[best][k] += n
+
+    def growth(have: int, more: int, wanted: float) -> float:
+        return more * (2 * (have - wanted) + more) / max(1.0, wanted)
+
+    for unit, counts in sorted(sizes, key=lambda x: (-sum(x[1].values()), x[0])):
+        n = sum(counts.values())
+        # A label of which the unit holds nothing deviates as before.
+        costs = [len(totals) * growth(rows[i], n, s * whole) + sum(growth(filled[i][k], c, s * totals[k]) for k, c in counts.items()) for i, s in enumerate(shares)]
+        best = costs.index(min(costs))
+        placed[unit] = best
+        rows[best] += n
+        for k, c in counts.items():
+            filled[best][k] += c
     return placed
 
 
 def assign(rows: DataFrame, id_col: str = "row_id", label: Column | None = None, names=("train", "validation", "test"), shares=(0.8, 0.1, 0.1), seed: int = 7) -> DataFrame:
     """(row_id, grp, split): all rows of a group have one split, the splits near their shares label by label.
 
-    Groups above a thousandth of all rows are placed greedily; the many small ones are put in hashed
-    order within their most frequent label and cut at the shares that the large ones left open, by
-    running sums over 1024 hash buckets. An empty table gives an empty result.
+    Units are placed one by one where the deviation of the label distribution grows least. A unit is
+    a group, or a bundle of groups that are below a thousandth of all rows, drawn by hash among those
+    of one main label. NULL labels are a stratum of their own; of more than a hundred labels the
+    rarest are one stratum. An empty table gives an empty result.
     """
     spark = rows.sparkSession
     given = written(grouped(rows, id_col, F.lit("all") if label is None else label))
-    counts = cut(given.groupBy("grp", "label").agg(F.count("*").alias("n")))
-    totals = {r["label"]: r["n"] for r in counts.groupBy("label").agg(F.sum("n").alias("n")).limit(MAX_LABELS + 1).collect()}
-    if len(totals) > MAX_LABELS:
-        raise ValueError(f"more than {MAX_LABELS} labels")
+    counted = cut(given.groupBy("grp", "label").agg(F.count("*").alias("n")))
+    strata = counted.groupBy("label").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "label").limit(MAX_LABELS).collect()
+    kept = strata if len(strata) < MAX_LABELS else strata[: MAX_LABELS - 1]
+    named = spark.createDataFrame([(r["label"], r["label"]) for r in kept], "label string, stratum string")
+    counts = counted.join(F.broadcast(named), "label", "left").groupBy("grp", F.coalesce("stratum", F.lit(OTHER)).alias("label")).agg(F.sum("n").alias("n"))
+    counts = cut(counts)
+    totals = {r["label"]: r["n"] for r in counts.groupBy("label").agg(F.sum("n").alias("n")).collect()}
     whole = sum(totals.values())
     sizes = counts.groupBy("grp").agg(F.sum("n").alias("rows"), F.max_by("label", F.struct("n", "label")).alias("main"))
-    large = sizes.filter(F.col("rows") * LARGE >= whole).join(counts, "grp").groupBy("grp").agg(F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("m")).collect()
-    placed = place([(r["grp"], r["m"]) for r in large], list(shares), totals)
-    taken = {k: [0] * len(shares) for k in totals}
-    for r in large:
-        for k, n in r["m"].items():
-            taken[k][placed[r["grp"]]] += n
-    bounds = []
-    for k, n in totals.items():
-        free = [max(0.0, s * n - t) for s, t in zip(shares, taken[k], strict=True)]
-        total = sum(free) or 1.0
-        at = 0.0
-        for i, f in enumerate(free):
-            bounds.append((k, i, at / total, (at + f) / total if i < len(free) - 1 else 2.0))
-            at += f
-    fixed = spark.createDataFrame([(g, names[i]) for g, i in placed.items()], "grp string, split string")
-    cuts = spark.createDataFrame([(k, names[i], a, b) for k, i, a, b in bounds], "main string, split string, low double, high double")
-    small = sizes.join(F.broadcast(fixed.select("grp")), "grp", "left_anti").withColumn("h", F.pmod(F.xxhash64("grp", F.lit(seed)), F.lit(1024)))
-    buckets = small.groupBy("main", "h").agg(F.sum("rows").alias("n"))
-    w = Window.partitionBy("main").orderBy("h")
-    share = (F.sum("n").over(w) - F.col("n") / 2) / F.sum("n").over(Window.partitionBy("main"))
-    ranked = small.join(F.broadcast(buckets.select("main", "h", share.alias("x"))), ["main", "h"])
-    chosen = ranked.join(F.broadcast(cuts), "main").filter((F.col("x") >= F.col("low")) & (F.col("x") < F.col("high"))).select("grp", "split")
-    splits = sizes.select("grp", "rows").join(chosen.unionByName(fixed), "grp")
-    return attach(given, splits, ["grp"], "rows").select("row_id", "grp", "split")
+    bundle = F.concat_ws(" ", F.lit("bundle"), F.pmod(F.xxhash64("grp", F.lit(seed)), F.lit(BUNDLES)).cast("string"), "main")
+    units = cut(sizes.select("grp", "rows", F.when(F.col("rows") * LARGE >= whole, F.concat(F.lit("group "), "grp")).otherwise(bundle).alias("unit")))
+    profile = counts.join(units.select("grp", "unit"), "grp").groupBy("unit", "label").agg(F.sum("n").alias("n"))
+    profile = profile.groupBy("unit").agg(F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("m")).collect()
+    placed = place([(r["unit"], r["m"]) for r in profile], list(shares), totals)
+    chosen = spark.createDataFrame([(u, names[i]) for u, i in placed.items()], "unit string, split string")
+    return attach(given, units.join(F.broadcast(chosen), "unit").select("grp", "rows", "split"), ["grp"], "rows").select("row_id", "grp", "split")

@@ -10,18 +10,18 @@ _NEAR = f"""(SELECT g.row_id AS gold_row_id, s.row_id AS silver_row_id, g.eval_s
 FROM (SELECT *, {_FOLD} AS t FROM bloomfield_annotated WHERE text_cree IS NOT NULL) g JOIN (SELECT row_id, {_FOLD} AS t FROM deepseek_labels WHERE text_cree IS NOT NULL) s
 ON abs(length(g.t) - length(s.t)) * 100 <= 15 * greatest(length(g.t), length(s.t)) WHERE g.t <> '' AND s.t <> '' AND levenshtein(g.t, s.t) * 100 <= 15 * greatest(length(g.t), length(s.t)))"""
 
-_P1 = f"""WITH RECURSIVE n AS (SELECT DISTINCT source_file, paragraph_id, {_FILE} AS node FROM bloomfield_texts_sentences WHERE source_file IS NOT NULL),
+_TIES = f"""WITH RECURSIVE n AS (SELECT DISTINCT source_file, paragraph_id, {_FILE} AS node FROM bloomfield_texts_sentences WHERE source_file IS NOT NULL),
 e AS (SELECT DISTINCT a.node AS x, b.node AS y FROM n a JOIN n b ON a.paragraph_id = b.paragraph_id),
 r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
 c AS (SELECT x AS node, min(y) AS label FROM (SELECT x, y FROM r UNION ALL SELECT node, node FROM n) GROUP BY x),
-s AS (SELECT DISTINCT n.source_file AS stored, c.label AS label FROM n JOIN c ON n.node = c.node)
-SELECT a.stored AS source_file_a, b.stored AS source_file_b FROM s a JOIN s b ON a.label = b.label AND a.stored < b.stored"""
+s AS (SELECT DISTINCT n.source_file AS stored, c.label AS label FROM n JOIN c ON n.node = c.node)"""
 
 
 def oracle_sql() -> dict[str, str]:
     first = f"(SELECT record, min(row_id) AS first_row_id, count(*) AS copies FROM {_RECORD} GROUP BY record)"
     return {
-        "p1_found": _P1,
+        "p1_found": f"{_TIES} SELECT a.stored AS source_file_a, b.stored AS source_file_b FROM s a JOIN s b ON a.label = b.label AND a.stored < b.stored",
+        "p1_groups": f"{_TIES} SELECT stored AS source_file, label AS grp, count(*) OVER (PARTITION BY label) - 1 AS links FROM s",
         "p2_found": f"SELECT gold_row_id, silver_row_id FROM {_NEAR}",
         "p2_counts": f"SELECT eval_split, source_file, count(*) AS pairs, count(DISTINCT gold_row_id) AS gold_rows, count(DISTINCT silver_row_id) AS silver_rows FROM {_NEAR} GROUP BY eval_split, source_file",
         "p3_found": f"SELECT f.first_row_id AS first_row_id, r.row_id AS copy_row_id FROM {_RECORD} r JOIN {first} f ON r.record = f.record WHERE r.row_id <> f.first_row_id",

@@ -69,6 +69,18 @@ def test_splits_keep_groups_and_proportions(spark):
     assert splits.assign(df.limit(0)).count() == 0
 
 
+def test_groups_name_their_links(spark):
+    data = [(1, "a", 1, 0, "", ""), (2, "A.html", 2, 0, "", ""), (3, "b", 2, 0, "", ""), (4, "c", None, 0, "", ""), (5, None, 1, 0, "", "")]
+    assert rows(splits.tied_groups(spark.createDataFrame(data, POOL))) == [("A.html", "a", 2), ("a", "a", 2), ("b", "a", 2), ("c", "c", 0)]
+
+
+def test_many_labels_and_small_groups_are_placed_by_one_rule(spark):
+    data = [(i, f"s{i % 700}", None, 0, "", f"l{i % 150}") for i in range(6000)] + [(9000 + i, "big", None, 0, "", "l0") for i in range(2500)]
+    out = splits.assign(spark.createDataFrame(data, POOL), label=F.col("label")).groupBy("split").count().collect()
+    share = {r["split"]: r["count"] / 8500 for r in out}
+    assert abs(share["train"] - 0.8) < 0.03 and abs(share["test"] - 0.1) < 0.03
+
+
 def fold(t):
     t = "".join(c for c in unicodedata.normalize("NFD", t.lower()) if not unicodedata.combining(c))
     return "".join(c for c in t if c.isalnum())
@@ -134,6 +146,15 @@ def test_formatting_duplicates(spark):
     assert formatting.members(df.limit(0)).count() == 0
 
 
+def test_the_form_of_a_text_does_not_hang_on_its_other_characters(spark):
+    rng = random.Random(4)
+    odd = "aB2²ª½ĳŀſé¨µº\u0301\u0308ᐊᐢᕽÅÅﬁＡς Σ.-…‗"
+    texts = ["".join(rng.choice(odd) for _ in range(rng.randint(1, 8))) for _ in range(300)]
+    data = [(2 * i, t, None) for i, t in enumerate(texts)] + [(2 * i + 1, t + "☃\u00a0", "") for i, t in enumerate(texts)]
+    keyed = {r["row_id"]: bytes(r["key"]) for r in formatting.canonical(spark.createDataFrame(data, "row_id bigint, a string, b string"), "row_id", "a", "b").collect()}
+    assert [i for i, t in enumerate(texts) if keyed[2 * i] != keyed[2 * i + 1]] == []
+
+
 def test_one_record_with_many_copies(spark):
     df = spark.createDataFrame([(i, "a b" if i % 3 == 0 else f"t{i}", "A. B" if i % 3 == 0 else "", "", 0) for i in range(1, 3001)], SILVER)
     got = formatting.members(df)

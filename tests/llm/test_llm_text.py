@@ -153,6 +153,12 @@ def test_visible_differences_stay(spark):
     df = spark.createDataFrame(data, "row_id bigint, text_cree string, form int")
     assert sorted(map(tuple, confusables.lookalikes(df).collect())) == [(1, 2), (2, 9), (4, 10)]
     assert confusables.lookalikes(df.limit(0)).count() == 0
+    assert sorted(map(tuple, confusables.spellings(df).collect())) == [(1, 1, 1), (2, 1, 2), (3, 3, 0), (4, 4, 1), (5, 5, 0), (6, 6, 0), (8, 8, 0), (9, 1, 1), (10, 4, 1)]
+
+
+def test_one_spelling_with_very_many_rows(spark):
+    df = spark.createDataFrame([(i, "nipiy") for i in range(3000)] + [(5000, "nірiу"), (5001, "nipіy")], "row_id bigint, text_cree string")
+    assert confusables.lookalikes(df).count() == 2 * 3000 + 1
 
 
 def test_no_changed_character_is_taken_for_plain(spark):

@@ -69,6 +69,10 @@ def _sides(texts: DataFrame) -> DataFrame:
     return rows.select("row_id", "source_file", "s.side", "s.text").filter(F.col("text").isNotNull() & F.col("row_id").isNotNull()).withColumn("cased", has_capitals(F.col("text")))
 
 
+def _all(pattern: str) -> Column:
+    return F.regexp_extract_all("text", F.lit(pattern), F.lit(1))
+
+
 def decisions(sides: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Decisions of the corpus (side, token, kind) and those of documents that differ (source_file, side, token, kind).
 
@@ -91,13 +95,20 @@ def decisions(sides: DataFrame) -> tuple[DataFrame, DataFrame]:
     met = F.explode(F.regexp_extract_all("text", F.lit(r"(?:[\p{Ll},;] |\p{Lu}\.\s)\p{Lu}[\p{Ll}\p{M}]++"), F.lit(0)))
     initial = F.substring("x", 2, 1) == "."
     capitals = sides.filter("cased").select("source_file", "side", met.alias("x")).select("source_file", "side", F.when(initial, F.expr("substring(x, 4)")).otherwise(F.expr("substring(x, 3)")).alias("token"), (~initial).cast("long").alias("mid"))
-    capitals = cut(capitals.groupBy("source_file", "side", "token").agg(F.sum("mid").alias("mid")))
+    capitals = cut(capitals.groupBy("source_file", "side", "token").agg(F.sum("mid").alias("mid"), F.count_if(F.col("mid") == 0).alias("after")))
     words = cut(capitals.groupBy("side", "token").agg(F.sum("mid").alias("mid")).withColumn("small", F.lower("token")))
     wanted = likely.select("side", "token").unionByName(words.select("side", F.col("small").alias("token"))).distinct()
     few = wanted.count() <= MAX_TABLE
     near = (lambda df: F.broadcast(df)) if few else (lambda df: df)
-    plain = sides.select("source_file", "side", F.explode(F.regexp_extract_all("text", F.lit(rf"{token}(?!\.)"), F.lit(1))).alias("token"))
-    bare = cut(plain.join(near(wanted), ["side", "token"]).groupBy("source_file", "side", "token").agg(F.count("*").alias("bare")))
+    # A document counts for itself only where it may decide for itself; all else is counted for the corpus alone.
+    able = dotted.filter((F.col("dots") >= ENOUGH) & F.col("source_file").isNotNull()).join(near(likely.select("side", "token")), ["side", "token"])
+    mine = capitals.filter(F.col("source_file").isNotNull() & ((F.col("mid") >= ENOUGH) | (F.col("after") > 0)))
+    pairs = able.select("source_file", "side", "token").unionByName(mine.select("source_file", "side", F.lower("token").alias("token"))).distinct()
+    pairs = cut(pairs.withColumn("own", F.lit(True)))
+    plain = sides.select("source_file", "side", F.explode(_all(rf"{token}(?!\.)")).alias("token")).join(near(wanted), ["side", "token"])
+    if pairs.count() <= MAX_TABLE:
+        plain = plain.join(F.broadcast(pairs), ["source_file", "side", "token"], "left").withColumn("source_file", F.when(F.col("own"), F.col("source_file")))
+    bare = cut(plain.groupBy("source_file", "side", "token").agg(F.count("*").alias("bare")))
     all_bare = bare.groupBy("side", "token").agg(F.sum("bare").alias("bare"))
 
     def kind(bare_count: Column) -> Column:
@@ -110,8 +121,7 @@ def decisions(sides: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     everywhere = likely.join(all_bare, ["side", "token"], "left")
     everywhere = everywhere.select("side", "token", kind(F.coalesce("bare", F.lit(0))).alias("kind"), (F.col("dots") / (F.col("dots") + F.coalesce("bare", F.lit(0)))).alias("stops"))
-    here = dotted.filter((F.col("dots") >= ENOUGH) & F.col("source_file").isNotNull()).join(near(likely.select("side", "token")), ["side", "token"])
-    here = here.join(bare, ["source_file", "side", "token"], "left").select("source_file", "side", "token", "dots", kind(F.coalesce("bare", F.lit(0))).alias("kind"))
+    here = able.join(bare, ["source_file", "side", "token"], "left").select("source_file", "side", "token", "dots", kind(F.coalesce("bare", F.lit(0))).alias("kind"))
     # A document's own decision only counts against the corpus where it says more than "may" against "never".
     other = here.join(everywhere.withColumnRenamed("kind", "usual"), ["side", "token"]).filter((F.col("kind") != F.col("usual")) & ((F.col("kind") == "none") | (F.col("usual") == "none")))
     # Names and last words stand before a few full stops in a row by chance: that makes no abbreviation.
@@ -120,7 +130,7 @@ def decisions(sides: DataFrame) -> tuple[DataFrame, DataFrame]:
     low = F.coalesce("bare", F.lit(0))
     small = all_bare.withColumnRenamed("token", "small")
     names = words.join(small, ["side", "small"], "left").select("side", "token", sort(F.col("mid"), low).alias("kind"))
-    own = capitals.filter(F.col("source_file").isNotNull()).withColumn("small", F.lower("token"))
+    own = mine.withColumn("small", F.lower("token"))
     own = own.join(bare.withColumnRenamed("token", "small"), ["source_file", "side", "small"], "left").select("source_file", "side", "token", sort(F.col("mid"), low).alias("kind")).filter(F.col("kind").isNotNull())
     own = own.join(names.withColumnRenamed("kind", "usual"), ["side", "token"]).filter(~F.col("kind").eqNullSafe(F.col("usual")))
     marked = F.concat(F.lit("^"), "token").alias("token")
@@ -292,10 +302,6 @@ def _cutter(shared):
     return run
 
 
-def _all(pattern: str) -> Column:
-    return F.regexp_extract_all("text", F.lit(pattern), F.lit(1))
-
-
 def _of_rows(sides: DataFrame, words: Column, table: DataFrame, key: str, name: str) -> DataFrame:
     """Per row the entries of ``table`` for the words of its text; an empty list where there are none."""
     found = sides.select("row_id", "side", F.explode(F.array_distinct(words)).alias(key))

@@ -84,9 +84,11 @@ def within(df: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(wanted.select(*keys).dropna().distinct(), keys, "left_semi").select(*df.columns)
 
 
-def union_sources(frames: dict[str, DataFrame], columns: list[str]) -> DataFrame:
-    """Union of the sources' rows, each with its name; empty sources keep the schema."""
-    return reduce(DataFrame.unionByName, [df.select(*columns, F.lit(name).alias("source")) for name, df in frames.items()])
+def union_sources(frames: dict[str, DataFrame], columns: list[str], skip: tuple[str, ...] = ()) -> DataFrame:
+    """Union of the sources' rows, each with its name; skipped sources give no rows, empty ones keep the schema."""
+    parts = [df.select(*columns, F.lit(name).alias("source")) for name, df in frames.items()]
+    kept = [part for name, part in zip(frames, parts, strict=True) if name not in skip]
+    return reduce(DataFrame.unionByName, kept) if kept else parts[0].limit(0)
 
 
 def append(pool: DataFrame, new: DataFrame, backfill: dict[str, object]) -> DataFrame:

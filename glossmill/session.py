@@ -52,16 +52,37 @@ def written(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    table_ = spark.read.schema(df.schema).parquet(path)
+    table_._glossmill_path = path
+    return table_
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder for files of one job; :func:`release` deletes it."""
+    path = f"{shared_dir(spark)}/glossmill-tables/{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
+def free(*frames: DataFrame) -> None:
+    """Delete the tables behind frames that :func:`written` gave, as soon as nothing reads them any more."""
+    for df in frames:
+        path = getattr(df, "_glossmill_path", None)
+        for item in [x for x in _written if x[1] == path]:
+            _delete(*item)
+            _written.remove(item)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def release(spark: SparkSession | None = None) -> None:
     """Delete the tables that :func:`written` made, of one session or of all."""
     for item in [x for x in _written if spark is None or x[0] is spark]:
-        with contextlib.suppress(Exception):
-            jvm = item[0].sparkContext._jvm
-            path = jvm.org.apache.hadoop.fs.Path(item[1])
-            path.getFileSystem(item[0].sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(*item)
         _written.remove(item)
 
 

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
+from glossmill.functions.labels import merged
 from glossmill.functions.text import strip
+from glossmill.operators.align import align_lists
 from glossmill.session import written
 
 SCHEMAS = {
@@ -66,6 +69,48 @@ def read_whole(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
 
+def eval_rows(spark: SparkSession, path: str | None, default: DataFrame, label: str = "label") -> DataFrame:
+    """(text_cree, label) of another evaluation file where a path is given, else of the default table; labels by the first normalizer, rows without text dropped."""
+    df = default if path is None else spark.read.parquet(path)
+    return df.filter(F.col("text_cree").isNotNull()).select("text_cree", merged(F.col(label)).alias("label"))
+
+
+def text_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line_no, line) of one text file, in its order, stripped, blank lines dropped; the order is that of the file, so a file is read whole."""
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r\n|\r|\n")).alias("pos", "line")).withColumn("line", strip(F.col("line"))).filter(F.col("line") != "")
+    return lines.withColumn("line_no", F.row_number().over(Window.orderBy("pos")) - 1).select("line_no", "line")
+
+
+def read_manifest(spark: SparkSession, manifest: list[tuple[str, str, str]], least: int = 1) -> tuple[DataFrame, list[tuple[str, int | None, str | None]]]:
+    """((label, src, tgt), report) of a manifest of (source file, target file, label).
+
+    Files of as many lines are paired line by line, others by the length-based aligner. A pair that
+    cannot be read is skipped and named in the report, which has (label, pairs, error); it stops nothing.
+    """
+    pairs, report = spark.createDataFrame([], "label string, src string, tgt string"), []
+    for left, right, label in manifest:
+        try:
+            sides = [text_lines(spark, p) for p in (left, right)]
+            sizes = [s.count() for s in sides]
+            a, b = (s.withColumnRenamed("line", name) for s, name in zip(sides, ("src", "tgt"), strict=True))
+            if sizes[0] == sizes[1]:
+                found = a.join(b, "line_no").select("src", "tgt")
+            else:
+                src, tgt = ([r[1] for r in s.orderBy("line_no").collect()] for s in sides)
+                found = spark.createDataFrame([(s, t) for s, t, _ in align_lists(src, tgt)], "src string, tgt string")
+            found = found.filter((F.length("src") >= least) & (F.length("tgt") >= least))
+            report.append((label, found.count(), None))
+            pairs = pairs.unionByName(found.select(F.lit(label).alias("label"), "src", "tgt"))
+        except Exception as problem:
+            report.append((label, None, type(problem).__name__))
+    return pairs, report
+
+
+def local_or(spark: SparkSession, path: str, other) -> DataFrame:
+    """The table at a path where there is one, else what ``other`` gives."""
+    return spark.read.parquet(path) if exists(spark, path) else other()
+
+
 def write_by(df: DataFrame, path: str, column: str = "model") -> None:
     """One folder per value, such as the slug of a model; other values stay."""
     df.write.mode("append").partitionBy(column).parquet(path)

@@ -257,11 +257,11 @@ def token_to_sentence_label(spark, d):
     return rows_of(spark, d, "lineitem", "l_orderkey", "l_returnflag").groupBy("l_orderkey").agg(F.when(hits >= 2, "metaphor").otherwise("literal").alias("label"))
 
 
-@query(f"SELECT source_file, string_agg('[' || n || '] ' || footnote_en, chr(10) ORDER BY n, footnote_en) AS notes FROM (SELECT DISTINCT source_file, paragraph_num AS n, footnote_en FROM {P} WHERE source_file IS NOT NULL AND footnote_en IS NOT NULL AND paragraph_num IS NOT NULL) GROUP BY source_file")
+@query(f"SELECT source_file, paragraph_num, string_agg('[' || row_id || '] ' || footnote_en, chr(10) ORDER BY row_id) AS notes FROM {P} WHERE source_file IS NOT NULL AND footnote_en IS NOT NULL AND paragraph_num IS NOT NULL GROUP BY source_file, paragraph_num")
 def ordered_notes(spark, d):
-    rows = rows_of(spark, d, P, "source_file", F.col("paragraph_num").alias("n"), "footnote_en").dropna().distinct()
-    notes = F.transform(F.array_sort(F.collect_list(F.struct("n", "footnote_en"))), lambda x: F.concat(F.lit("["), x["n"].cast("string"), F.lit("] "), x["footnote_en"]))
-    return rows.groupBy("source_file").agg(F.array_join(notes, "\n").alias("notes"))
+    rows = rows_of(spark, d, P, "source_file", "paragraph_num", "row_id", "footnote_en").dropna()
+    notes = F.transform(F.array_sort(F.collect_list(F.struct("row_id", "footnote_en"))), lambda x: F.concat(F.lit("["), x["row_id"].cast("string"), F.lit("] "), x["footnote_en"]))
+    return rows.groupBy("source_file", "paragraph_num").agg(F.array_join(notes, "\n").alias("notes"))
 
 
 @query(f"SELECT label, count(*) AS n, {R.rnd('sum(count(*)) OVER ()::DOUBLE / (4 * count(*))')} AS weight FROM {G} WHERE label IS NOT NULL GROUP BY label")

@@ -428,8 +428,7 @@ def pair_align_dp(spark, d):
 SELECT source, list(text ORDER BY doc_id) FILTER (WHERE lang = 'crk') AS a, list(text ORDER BY doc_id) FILTER (WHERE lang = 'en') AS b FROM {D} WHERE text IS NOT NULL AND source IS NOT NULL GROUP BY source) WHERE len(a) > 0 AND len(b) > 0 AND abs(len(a) - len(b)) <= 10)""")
 def paragraph_pairs(spark, d):
     rows = table(spark, d, D).dropna(subset=["text", "source"])
-    side = lambda lang: F.transform(F.array_sort(F.collect_list(F.when(F.col("lang") == lang, F.struct("doc_id", "text")))), lambda x: x["text"])
-    return align.paragraph_pairs(rows.groupBy("source").agg(side("crk").alias("a"), side("en").alias("b")), "source", "a", "b")
+    return align.positional_pairs(rows, "source", "doc_id", F.when(F.col("lang") == "crk", True).when(F.col("lang") == "en", False), "text")
 
 
 @query()
@@ -491,6 +490,8 @@ def facing_pages(spark, d):
 def story_pairs(spark, d):
     rows = table(spark, d, P).dropna(subset=["source_file", "text_cree", "text_en"])
     side = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_id", c))), lambda x: F.regexp_replace(x[c], r"\s+", " ")), "\n\n")
-    docs = rows.groupBy("source_file").agg(F.concat(F.lit("Contents\n(2) Story\nTEXTS AND TRANSLATIONS\n(1) A Story\n\n"), side("text_cree"), F.lit("\n\n"), side("text_en")).alias("text"))
+    # A book holds the rows of one file under two hundred neighbouring ids, so that no file makes a text without bound.
+    book = F.concat_ws("#", "source_file", F.floor(F.col("row_id") / 200).cast("string"))
+    docs = rows.withColumn("source_file", book).groupBy("source_file").agg(F.concat(F.lit("Contents\n(2) Story\nTEXTS AND TRANSLATIONS\n(1) A Story\n\n"), side("text_cree"), F.lit("\n\n"), side("text_en")).alias("text"))
     found = parse.stories(docs, "source_file", "text")
     return align.paragraph_pairs(found.withColumn("story", F.concat_ws(" ", "source_file", F.col("num").cast("string"))), "story", "cree", "en")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossmill.session import written
+from glossmill.session import free, written
 
 LABELS = ("literal", "idiom", "metaphor", "simile")
 K = len(LABELS)
@@ -175,7 +175,7 @@ def _estimate_as_table(cast: DataFrame, names: DataFrame) -> tuple[DataFrame, Da
     vector = F.array(*(F.col(f"t{k}") for k in range(K)))
     norm = lambda a: F.transform(a, lambda x: x / F.aggregate(a, F.lit(0.0), lambda s, y: s + y))
     post = written(cast.withColumn("v", vote).groupBy(*ITEM).agg(*total(F.col("v"))).select(*ITEM, norm(vector).alias("t")))
-    last = None
+    last, settled = None, False
     for _ in range(ROUNDS):
         items = post.agg(*total(F.col("t"))).collect()[0]
         size = sum(x + SMOOTH for x in items if x is not None) or 1.0
@@ -188,14 +188,18 @@ def _estimate_as_table(cast: DataFrame, names: DataFrame) -> tuple[DataFrame, Da
         if last is not None:
             pairs = conf.alias("n").join(last.alias("o"), "annotator")
             change = pairs.agg(F.max(F.greatest(*(F.abs(F.col(f"n.p{k}{s}") - F.col(f"o.p{k}{s}")) for k in range(K) for s in range(K))))).collect()[0][0]
-            if change is None or change < ENOUGH:
-                break
+            settled = change is None or change < ENOUGH
+            free(last)
         last = conf
         logs = [F.element_at(F.array(*(F.ln(f"p{k}{s}") for s in range(K))), F.col("label") + 1).alias(f"t{k}") for k in range(K)]
         scores = cast.join(conf, "annotator").select(*ITEM, *logs).groupBy(*ITEM).agg(*(F.sum(f"t{k}").alias(f"t{k}") for k in range(K)))
         shifted = scores.select(*ITEM, F.array(*(F.col(f"t{k}") + float(np.log(prior[k])) for k in range(K))).alias("a"))
         powers = F.transform("a", lambda x: F.exp(x - F.array_max("a")))
-        post = written(shifted.select(*ITEM, norm(powers).alias("t")))
+        before, post = post, written(shifted.select(*ITEM, norm(powers).alias("t")))
+        free(before)
+        # As in the other form, the newest matrices have scored the items when the rounds end.
+        if settled:
+            break
     facts = cast.groupBy(*ITEM).agg(_people(), *_pairs()).select(*ITEM, "n_annotators", _agreement())
     best = post.select(*ITEM, (F.array_position("t", F.array_max("t")) - 1).cast("int").alias("label"), F.array_max("t").alias("certainty"))
     trust = conf.join(names, "annotator").select("annotator", "n_votes", sum((F.col(f"p{k}{k}") * prior[k] for k in range(1, K)), F.col("p00") * prior[0]).alias("reliability"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossmill.operators.skew import attach, salted
-from glossmill.session import cut, written
+from glossmill.session import cut, free, written
 
 BLANK = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+"
 MAX_LABELS = 100  # strata: the most frequent labels; all others together are the last one
@@ -34,14 +34,17 @@ def components(edges: DataFrame) -> DataFrame:
     Every round sends the least label of each hub to its nodes and then jumps once over labels, so
     the number of rounds grows with the logarithm of the longest path.
     """
-    edges = cut(edges.distinct())
-    labels = cut(edges.select("node").distinct().withColumn("label", F.col("node")))
+    edges = written(edges.distinct())
+    labels = written(edges.select("node").distinct().withColumn("label", F.col("node")))
+    kept = [labels]  # tables of the round before, which go as soon as the next one stands
     while True:
         hubs = edges.join(labels, "node").groupBy("hub").agg(F.min("label").alias("least"))
         seen = edges.join(hubs, "hub").groupBy("node").agg(F.min("least").alias("least"))
         moved = labels.join(seen, "node").select("node", "label", F.least("label", "least").alias("to"))
         jump = moved.select(F.col("node").alias("to"), F.col("to").alias("further"))
-        after = cut(moved.join(jump, "to").select("node", "label", F.least("to", "further").alias("new")))
+        after = written(moved.join(jump, "to").select("node", "label", F.least("to", "further").alias("new")))
+        free(*kept)
+        kept = [after]
         if after.filter(F.col("label") != F.col("new")).isEmpty():
             return after.select("node", "label")
         labels = after.select("node", F.col("new").alias("label"))

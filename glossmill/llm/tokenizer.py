@@ -18,6 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glossmill.operators.skew import attach
 from glossmill.session import written
 
 DEFAULT_PATH = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -30,7 +31,7 @@ PATTERN = (
     rf"|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 )
 _CHUNK = "gm_chunk bigint, gm_docs array<bigint>, gm_counts binary, gm_codes binary, gm_wide boolean, gm_words array<string>"
-CHUNK_DOCS = 4096
+CHUNK_DOCS, CHUNK_WORDS = 4096, 1 << 20  # a chunk ends at so many documents or words; a longer document is a chunk of its own
 
 
 @lru_cache(maxsize=4)
@@ -48,11 +49,21 @@ def pre_tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
 
 
+def chunk_bounds(n: np.ndarray) -> list[tuple[int, int]]:
+    """Where the chunks of documents with ``n`` words begin and end."""
+    group = np.stack([np.arange(len(n)) // CHUNK_DOCS, (np.cumsum(n) - n) // CHUNK_WORDS])
+    at = np.flatnonzero((group[:, 1:] != group[:, :-1]).any(axis=0)) + 1
+    long_ = np.flatnonzero(n > CHUNK_WORDS)
+    edges = np.unique(np.concatenate([[0, len(n)], at, long_, long_ + 1]))
+    return list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, number = TaskContext.get().partitionId(), 0
     for whole in batches:
-        for start in range(0, whole.num_rows, CHUNK_DOCS):
-            batch = whole.slice(start, CHUNK_DOCS)
+        n = np.asarray(whole.column(1).value_lengths().fill_null(0)).astype(np.int64)
+        for start, end in chunk_bounds(n):
+            batch = whole.slice(start, end - start)
             tokens = batch.column(1)
             counts = np.asarray(tokens.value_lengths().fill_null(0)).astype("<u4")
             coded = tokens.flatten().dictionary_encode()
@@ -78,7 +89,7 @@ def _encoder(path: str):
         for batch in batches:
             words = batch.column(0).to_pylist()
             ids = [encoding.encode_ordinary(w) for w in words]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["gm_word", "gm_ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["gm_word", "gm_n", "gm_ids"])
 
     return run
 
@@ -124,8 +135,10 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     rows = docs.select(F.col(id_col).cast("bigint").alias("gm_id"), pre_tokens(F.col(text_col)).alias("gm_tokens"))
     chunks = written(rows.mapInArrow(_chunks, _CHUNK))
     placed = chunks.select("gm_chunk", F.posexplode("gm_words").alias("gm_no", "gm_word"))
-    coded = placed.select("gm_word").distinct().mapInArrow(_encoder(path), "gm_word string, gm_ids array<int>")
-    pieces = placed.join(coded, "gm_word").groupBy("gm_chunk").agg(F.collect_list(F.struct("gm_no", "gm_ids")).alias("gm_pieces"))
+    counted = placed.groupBy("gm_word").agg(F.count("*").alias("gm_n"))
+    coded = counted.mapInArrow(_encoder(path), "gm_word string, gm_n bigint, gm_ids array<int>")
+    # Words of very many chunks come back by broadcast, so that none of them meets in one task.
+    pieces = attach(placed, coded, ["gm_word"], "gm_n").groupBy("gm_chunk").agg(F.collect_list(F.struct("gm_no", "gm_ids")).alias("gm_pieces"))
     whole = chunks.drop("gm_words").join(pieces, "gm_chunk", "left")
     schema = "doc_id bigint, n_tokens bigint" if only_counts else "doc_id bigint, ids array<int>"
     return whole.select("gm_docs", "gm_counts", "gm_codes", "gm_wide", "gm_pieces").mapInArrow(_assembler(only_counts), schema)

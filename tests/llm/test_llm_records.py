@@ -233,6 +233,23 @@ def test_quotas_respect_caps_and_shares():
     assert mixing.fill([("a", 1.0, 2, 10)], 1000) == {"a": 20}
 
 
+def test_quotas_of_a_table_equal_those_of_a_list(spark):
+    rng = random.Random(8)
+    for _ in range(4):
+        sources = [(f"s{i}", rng.choice([0.0, rng.random()]), rng.choice([None, 0, 1, 2, 9]), rng.choice([0, rng.randint(1, 2000)])) for i in range(30)]
+        df = spark.createDataFrame(sources, "source string, target_share double, max_repeats int, tokens bigint")
+        budget = rng.choice([None, 500, 10**7])
+        expected = mixing.fill(sources, budget)
+        got = {r["source"]: r["quota"] for r in mixing.quotas(df, budget).collect()}
+        assert got.keys() == expected.keys() and all(abs(got[k] - expected[k]) <= 1 for k in got)
+
+
+def test_mix_of_many_targets(spark, monkeypatch):
+    usual = [rows(x) for x in mixed(spark, 2)]
+    monkeypatch.setattr(mixing, "MAX_TARGETS", 0)
+    assert [rows(x) for x in mixed(spark, 2)] == usual
+
+
 def mixed(spark, parts):
     docs = [(i, f"s{i % 3}" if i % 10 else None, 50 + i % 7, 1.0) for i in range(1, 1001)]
     sized = spark.createDataFrame(docs, "doc_id bigint, source string, n_tokens bigint, weight double").repartition(parts)

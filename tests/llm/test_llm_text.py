@@ -238,6 +238,16 @@ def test_ids_equal_the_public_tokenizer(spark):
     assert tokenizer.encode(df.limit(0)).count() == 0
 
 
+def test_chunks_end_by_words_too(spark, monkeypatch):
+    monkeypatch.setattr(tokenizer, "CHUNK_WORDS", 10)
+    monkeypatch.setattr(tokenizer, "CHUNK_DOCS", 4)
+    n = np.array([3, 3, 3, 3, 0, 25, 1, 1, 1, 1, 1])
+    bounds = tokenizer.chunk_bounds(n)
+    assert [a for a, _ in bounds][1:] == [b for _, b in bounds][:-1] and bounds[0][0] == 0 and bounds[-1][1] == len(n)
+    assert (5, 6) in bounds and all(n[a:b].sum() <= 20 or b - a == 1 for a, b in bounds) and all(b - a <= 4 for a, b in bounds)
+    assert tokenizer.chunk_bounds(np.zeros(0, np.int64)) == []
+
+
 @pytest.mark.parametrize(("word", "n"), [("the", 1), ("make", 1), ("table", 2), ("remembered", 3), ("walked", 1), ("wanted", 2), ("interpretation", 5), ("x", 1), ("being", 2), ("grandmother", 3)])
 def test_syllables(word, n):
     assert reading.syllables(word) == n

@@ -33,23 +33,40 @@ def todo(pool: DataFrame, cache: DataFrame, key: str) -> DataFrame:
     return pool.join(cache.select(key).distinct(), key, "left_anti")
 
 
-def scored(rows: DataFrame, key: str, prompt: str, scorer: Scorer = rule_scorer) -> DataFrame:
-    """Q04: (key, label, reasoning) by a scorer applied in the executors; rows whose scorer fails or gives no label are left out, so they stay to be done."""
+def attempted(rows: DataFrame, key: str, prompt: str, scorer: Scorer = rule_scorer, tries: int = 2) -> DataFrame:
+    """Q04: (key, label, reasoning, error) by a scorer applied in the executors, tried again where it raises.
+
+    A scorer that keeps raising leaves a NULL label and the name and message of its error; one that
+    gives no label leaves the error "no label". Nothing is dropped.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
             for k, p in zip(frame[key], frame[prompt], strict=True):
-                try:
-                    label, why = scorer(p)
-                except Exception:
-                    label, why = None, ""
-                if label is not None:
-                    out.append((k, label, why))
-            yield pd.DataFrame(out, columns=[key, "label", "reasoning"])
+                label, why, error = None, "", None
+                for _ in range(tries):
+                    try:
+                        label, why = scorer(p)
+                        error = None if label is not None else "no label"
+                        break
+                    except Exception as problem:
+                        error = f"{type(problem).__name__}: {problem}"
+                out.append((k, label, why, error))
+            yield pd.DataFrame(out, columns=[key, "label", "reasoning", "error"])
 
     kind = dict(rows.dtypes)[key]
-    return rows.select(key, prompt).mapInPandas(run, f"{key} {kind}, label string, reasoning string")
+    return rows.select(key, prompt).mapInPandas(run, f"{key} {kind}, label string, reasoning string, error string")
+
+
+def scored(rows: DataFrame, key: str, prompt: str, scorer: Scorer = rule_scorer) -> DataFrame:
+    """(key, label, reasoning) of what got a label; the rest stays to be done."""
+    return attempted(rows, key, prompt, scorer).filter(F.col("label").isNotNull()).drop("error")
+
+
+def failures(rows: DataFrame, key: str, prompt: str, scorer: Scorer = rule_scorer) -> DataFrame:
+    """(error, n): how many rows got no label, by reason."""
+    return attempted(rows, key, prompt, scorer).filter(F.col("label").isNull()).groupBy("error").agg(F.count("*").alias("n"))
 
 
 def resume(pool: DataFrame, cache: DataFrame, key: str, prompt: str, version: str, scorer: Scorer = rule_scorer) -> DataFrame:

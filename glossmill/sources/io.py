@@ -54,9 +54,10 @@ def read_log(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[kind]).option("mode", "DROPMALFORMED").json(path)
 
 
-def append_log(df: DataFrame, path: str) -> None:
-    """K03."""
-    df.write.mode("append").json(path)
+def append_log(df: DataFrame, path: str, by: list[str] | None = None) -> None:
+    """Lines appended to a log, in folders by the values of columns where some are named."""
+    writer = df.write.mode("append")
+    (writer.partitionBy(*by) if by else writer).json(path)
 
 
 def read_tabs(spark: SparkSession, path: str) -> DataFrame:

@@ -1,9 +1,11 @@
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from glossmill.operators import align, html, incremental, metrics, parse, pool, retrieval, sample, skew
+from glossmill.functions import vectors
+from glossmill.operators import align, html, incremental, losses, metrics, parse, pool, retrieval, sample, skew, steps
 
 
 def rows(df):
@@ -223,6 +225,58 @@ def test_resume_leaves_failures_to_do(spark):
     assert again.count() == 0
 
 
+def test_failures_are_counted_by_reason(spark):
+    def scorer(prompt):
+        if prompt == "bad":
+            raise ValueError("no answer")
+        return (None, "") if prompt == "none" else ("literal", "")
+
+    df = spark.createDataFrame([(1, "bad"), (2, "bad"), (3, "none"), (4, "x")], "k int, prompt string")
+    assert rows(incremental.failures(df, "k", "prompt", scorer)) == [("ValueError: no answer", 2), ("no label", 1)]
+    assert rows(incremental.scored(df, "k", "prompt", scorer).select("k")) == [(4,)]
+
+
+def test_steps_and_commands(spark):
+    got = rows(steps.run_steps(spark, [("a", lambda: None), ("b", lambda: 1 / 0), ("c", lambda: 1 / 0)], skip=("c",)))
+    assert got == [(0, "a", "OK", None), (1, "b", "FAILED", "ZeroDivisionError"), (2, "c", "SKIPPED", None)]
+    df = spark.createDataFrame([({"temperature": "4", "learning_rate": "2e-5", "other": "x"},), ({},)], "c map<string,string>")
+    assert rows(df.select(steps.stage(F.col("c")), steps.command(F.col("c")))) == [("clkd", "run --clkd-lr 2e-5 --clkd-temperature 4"), ("tlm", "run")]
+
+
+def test_symmetric_loss_against_sums(spark):
+    rng = random.Random(2)
+    data = [(i // 5, i, [rng.gauss(0, 1) for _ in range(4)], [rng.gauss(0, 1) for _ in range(4)]) for i in range(10)] + [(9, 99, None, [1.0] * 4)]
+
+    def cos(a, b):
+        return sum(x * y for x, y in zip(a, b, strict=True)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
+
+    for batch, loss in losses.info_nce(spark.createDataFrame(data, "batch int, pair int, x array<double>, y array<double>"), 0.5).collect():
+        own = [d for d in data if d[0] == batch]
+        z = [[cos(a[2], b[3]) / 0.5 for b in own] for a in own]
+        row = sum(math.log(sum(map(math.exp, r))) - r[i] for i, r in enumerate(z)) / len(own)
+        col = sum(math.log(sum(math.exp(r[j]) for r in z)) - z[j][j] for j in range(len(own))) / len(own)
+        assert loss == pytest.approx((row + col) / 2)
+
+
+def test_masked_mean_of_nothing(spark):
+    df = spark.createDataFrame([([[1.0, 2.0], [3.0, 4.0]], [0.0, 1.0]), ([[1.0, 2.0]], [0.0])], "t array<array<double>>, m array<double>")
+    assert [r[0] for r in df.select(vectors.masked_mean(F.col("t"), F.col("m"), 2)).collect()] == [[3.0, 4.0], [0.0, 0.0]]
+
+
+def test_bootstrap_counts_keep_the_size(spark):
+    counts = spark.createDataFrame([("literal", "literal", 7), ("idiom", "literal", 3)], "t string, p string, n bigint")
+    got = sample.bootstrap(counts, 300)
+    assert {r["n"] for r in got.groupBy("replicate").agg(F.sum("n").alias("n")).collect()} == {10}
+    assert abs(got.filter("t = 'idiom'").agg(F.sum("n")).collect()[0][0] / 3000 - 0.3) < 0.03
+    assert sample.bootstrap(counts.limit(0), 5).count() == 0
+
+
+def test_logits_want_all_labels(spark):
+    df = spark.createDataFrame([([0.0, 1.0, 0.0, 0.0], 1), ([1.0, 0.0, 0.0, 0.0], 0)], "a array<double>, y int")
+    with pytest.raises(ValueError, match="metaphor"):
+        metrics.from_logits(df, "a", "y")
+
+
 def test_attach_with_a_hot_key(spark):
     df = spark.createDataFrame([(i, "hot" if i % 3 == 0 else f"k{i % 50}") for i in range(3000)] + [(9999, None)], "id int, key string")
     groups = df.groupBy("key").agg(F.count("*").alias("n"))

@@ -431,13 +431,42 @@ def paragraph_pairs(spark, d):
     return align.positional_pairs(rows, "source", "doc_id", F.when(F.col("lang") == "crk", True).when(F.col("lang") == "en", False), "text")
 
 
-@query()
+_ENDS = f"regexp_matches(t, '[.!?][\"''”’]*\\s*$') AND {R.blank_words('t')} >= 8"
+
+
+@query(f"""WITH RECURSIVE a AS (SELECT doc_id, {R.nonempty("list_transform(string_split(text, chr(10)), lambda y: " + R.strip('y') + ")")} AS w FROM {D} WHERE text IS NOT NULL),
+l AS (SELECT doc_id, generate_subscripts(w, 1) AS i, unnest(w) AS p FROM a),
+r AS (SELECT doc_id, 0::BIGINT AS i, '' AS open, NULL::VARCHAR AS x, NULL::VARCHAR AS y FROM a UNION ALL SELECT doc_id, i, CASE WHEN ends THEN '' ELSE t END, x, CASE WHEN ends THEN {R.strip('t')} END FROM (SELECT doc_id, i, t, x, {_ENDS} AS ends FROM (
+SELECT r.doc_id AS doc_id, l.i::BIGINT AS i, CASE WHEN r.open <> '' AND regexp_matches(l.p, '^\\.\\s+[A-Z]') THEN {R.strip('r.open')} END AS x, CASE WHEN r.open <> '' AND regexp_matches(l.p, '^\\.\\s+[A-Z]') THEN regexp_replace(l.p, '^[. ]+', '')
+WHEN r.open = '' THEN l.p ELSE regexp_replace(r.open, '{R.WS}+$', '') || ' ' || l.p END AS t FROM r JOIN l ON l.doc_id = r.doc_id AND l.i = r.i + 1))),
+e AS (SELECT doc_id, i, 0 AS k, x AS paragraph FROM r WHERE x IS NOT NULL UNION ALL SELECT doc_id, i, 1, y FROM r WHERE y IS NOT NULL UNION ALL SELECT doc_id, max(i), 2, {R.strip('arg_max(open, i)')} FROM r GROUP BY doc_id)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i, k) - 1)::INTEGER AS pos, paragraph FROM e WHERE k < 2 OR paragraph <> ''""")
 def fragment_merge(spark, d):
     lines = F.filter(F.transform(F.split("text", "\n"), X.strip), lambda x: x != "")
     return table(spark, d, D).filter(F.col("text").isNotNull()).select("doc_id", F.posexplode(parse.merged_fragments(lines)).alias("pos", "paragraph"))
 
 
-@query()
+_HAS = "[āēīōĀĒĪŌ]"
+_MARK = r"^\s{1,6}\d{1,2}\.\s+(.+)"
+_PROSE_SQL = parse.PROSE.replace("'", "''")
+_CUTS = "regexp_split_to_array(content, ' {3,}')"
+_PART = lambda x: R.strip(f"array_to_string({_CUTS}[{x}], '   ')")
+_SIDES = f"list_transform(range(1, len({_CUTS})), lambda k: {{'cree': {_PART('1:k')}, 'en': {_PART('k + 1:')}}})"
+_TOKENS = R.nonempty(f"regexp_split_to_array(content, '{R.WS}+')")
+_MACRON = f"len(list_filter({_TOKENS}, lambda z: regexp_matches(z, '{_HAS}')))"
+_BODY = R.strip(f"regexp_extract(line, '{_MARK}', 1)")
+_TIDY = lambda x: f"trim(trim({R.collapse(x)}, '\"'), '''')"
+
+
+@query(f"""WITH p AS (SELECT row_id, 'Chapter 1' || chr(10) || chr(10) || '  1. ' || text_cree || chr(10) || '     ' || text_en || chr(10) || '12' || chr(10) || text_cree || '     ' || text_en AS text FROM {S} WHERE text_cree IS NOT NULL AND text_en IS NOT NULL),
+n AS (SELECT row_id, generate_subscripts(a, 1) AS no, unnest(a) AS line FROM (SELECT row_id, regexp_split_to_array(text, '\\r\\n|[\\r\\n\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]') AS a FROM p)),
+f AS (SELECT row_id, no, line, lead(line) OVER (PARTITION BY row_id ORDER BY no) AS next_line, regexp_matches(line, '{_MARK}') AS marked, CASE WHEN regexp_matches(line, '{_MARK}') THEN {_BODY} ELSE {R.strip('line')} END AS content, {R.strip('line')} AS bare FROM n WHERE {R.strip('line')} <> ''),
+g AS (SELECT *, NOT regexp_matches(bare, '^\\p{{Nd}}+$') AND NOT regexp_matches(bare, '{_PROSE_SQL}') AS told, NOT regexp_matches(content, '{_PROSE_SQL}') AND CASE WHEN len({_TOKENS}) = 0 THEN false WHEN len({_TOKENS}) <= 3 THEN {_MACRON} >= 1 ELSE {_MACRON} >= 0.25::DOUBLE * len({_TOKENS}) END AS cree,
+list_filter(list_reverse({_SIDES}), lambda z: regexp_matches(z.cree, '{_HAS}') AND NOT regexp_matches(z.en, '{_HAS}') AND length(z.en) > 4)[1] AS pair FROM f),
+h AS (SELECT * REPLACE (CASE WHEN told AND (marked OR cree) THEN pair END AS pair), row_number() OVER (PARTITION BY row_id ORDER BY no) AS i FROM g),
+s AS (SELECT *, told AND cree AND pair IS NULL AND (marked OR length(content) > 5) AND coalesce(NOT regexp_matches({R.strip('next_line')}, '{_HAS}') AND length({R.strip('next_line')}) > 3 AND NOT (marked AND regexp_matches(next_line, '{_MARK}')), false) AS stacked FROM h),
+u AS (SELECT *, (i - coalesce(max(CASE WHEN NOT stacked THEN i END) OVER (PARTITION BY row_id ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) % 2 = 1 AS free FROM s)
+SELECT row_id, row_number() OVER (PARTITION BY row_id ORDER BY no) - 1 AS pos, {_TIDY('coalesce(pair.cree, content)')} AS cree, {_TIDY('coalesce(pair.en, next_line)')} AS en FROM u WHERE free AND (stacked OR pair IS NOT NULL)""")
 def line_machine(spark, d):
     rows = table(spark, d, S).dropna(subset=["text_cree", "text_en"])
     page = F.concat(F.lit("Chapter 1\n\n  1. "), "text_cree", F.lit("\n     "), "text_en", F.lit("\n12\n"), "text_cree", F.lit("     "), "text_en")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glossmill.functions.text import round_at
 from glossmill.llm import alignment, confusables, consensus, formatting, mixing, overlap, reading, sentences, splits, tokenizer
 from glossmill.session import table
 
@@ -62,7 +63,8 @@ def p4_annotators(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_agreement(spark: SparkSession, d: str) -> DataFrame:
-    return consensus.agreement(*_log_and_gold(spark, d))
+    found = consensus.agreement(*_log_and_gold(spark, d))
+    return found.select("items", "opinions", *(round_at(F.col(c), 6).alias(c) for c in ("observed", "alpha")))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

@@ -48,3 +48,14 @@ def command(config: Column, base: str = "run") -> Column:
         text = F.concat(F.lit(base), *(F.coalesce(w, F.lit("")) for w in words))
         line = F.when(kind == name, text) if line is None else line.when(kind == name, text)
     return line
+
+
+def best_of(runs: DataFrame, metric: str, higher: bool = True) -> DataFrame:
+    """(name, config, value, n_runs) of the best run that has ended (state finished or crashed); one without the metric is worse than any other, ties go to the first name.
+
+    ``runs`` has name, state, config and summary (maps). Without such a run the result is empty.
+    """
+    done = runs.filter(F.col("state").isin("finished", "crashed")).select("name", "config", F.element_at("summary", metric).cast("double").alias("value"))
+    worse = F.coalesce(-F.col("value") if higher else F.col("value"), F.lit(float("inf")))
+    best = done.agg(F.min_by(F.struct("name", "config", "value"), F.struct(worse, "name")).alias("b"), F.count("*").alias("n_runs")).filter(F.col("n_runs") > 0)
+    return best.select("b.name", "b.config", "b.value", "n_runs")

@@ -180,6 +180,19 @@ def run_commands(spark, d):
     return rows.select("o_orderkey", steps.stage(F.col("config")).alias("stage"), steps.command(F.col("config")).alias("command"))
 
 
+_RUNS = "(SELECT o_orderkey, 'run ' || o_orderkey AS name, CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END AS value FROM orders WHERE o_orderstatus IN ('F', 'P'))"
+
+
+@query(f"SELECT name, 'run --tlm-epochs ' || (o_orderkey % 5) AS command, value, (SELECT count(*) FROM {_RUNS}) AS n_runs FROM {_RUNS} ORDER BY value DESC NULLS LAST, name LIMIT 1")
+def best_sweep_run(spark, d):
+    """The best run of a sweep and its command line."""
+    o = table(spark, d, "orders").filter(F.col("o_orderkey").isNotNull())
+    state = F.when(F.col("o_orderstatus") == "F", "finished").when(F.col("o_orderstatus") == "P", "crashed").otherwise("running")
+    summary = F.create_map(F.lit("eval/macro_f1"), F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice")))
+    runs = o.select(F.concat(F.lit("run "), F.col("o_orderkey").cast("string")).alias("name"), state.alias("state"), F.create_map(F.lit("epochs"), (F.col("o_orderkey") % 5).cast("string")).alias("config"), summary.alias("summary"))
+    return steps.best_of(runs, "eval/macro_f1").select("name", steps.command(F.col("config")).alias("command"), "value", "n_runs")
+
+
 @query("SELECT unnest([0, 1, 2, 3]) AS step, unnest(['count', 'broken', 'skipped', 'last']) AS name, unnest(['OK', 'FAILED', 'SKIPPED', 'OK']) AS status, unnest([NULL, 'ValueError', NULL, NULL]) AS error")
 def step_report(spark, d):
     """E20."""

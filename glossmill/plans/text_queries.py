@@ -509,9 +509,18 @@ def story_spans(spark, d):
     return parse.spans(lines, "doc_id").select("doc_id", F.col("line_no").cast("bigint").alias("line_no"), F.coalesce("end_line", F.lit(-1)).cast("bigint").alias("end_line"))
 
 
-@query()
+_KEY = "upper(regexp_replace(" + R.strip("regexp_replace(t, '\\p{Nd}+\\s*$', '')") + ", '\\.+$', ''))"
+_CLEAN = R.strip(_BLOCK.replace("(text,", "(b,"))
+
+
+@query(f"""WITH p AS (SELECT doc_id, regexp_split_to_array('1. THE FIRST STORY' || chr(10) || chr(10) || replace(text, chr(10), chr(10) || chr(10)) || chr(10) || chr(10) || 'The man said that he had told them what was there then.' || chr(10) || chr(10), '\\n{{2,}}') AS a FROM {D} WHERE text IS NOT NULL),
+n AS (SELECT doc_id, no, b, {R.collapse('b')} AS t FROM (SELECT doc_id, generate_subscripts(a, 1) AS no, unnest(a) AS b FROM p)),
+c AS (SELECT doc_id, no, b, t, {_CLASS} AS cls FROM n),
+h AS (SELECT doc_id, no, cls, {_CLEAN} AS body, last_value(CASE WHEN cls = 'header' THEN {_KEY} END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS title FROM c),
+r AS (SELECT doc_id, title, cls, body, row_number() OVER (PARTITION BY doc_id, title, cls ORDER BY no) - 1 AS i FROM h WHERE title IS NOT NULL AND cls IN ('ojibwe', 'english') AND length(body) >= 10)
+SELECT x.doc_id AS doc_id, x.title AS title, x.i AS para_idx, x.body AS text_ojibwe, y.body AS text_en FROM r x JOIN r y ON x.doc_id = y.doc_id AND x.title = y.title AND x.i = y.i WHERE x.cls = 'ojibwe' AND y.cls = 'english'""")
 def facing_pages(spark, d):
-    rows = table(spark, d, D).filter(F.col("lang") == "oj").select("doc_id", F.concat(F.lit("1. THE FIRST STORY\n\n"), F.regexp_replace("text", r"\n", "\n\n"), F.lit("\n\nThe man said that he had told them what was there then.\n\n")).alias("text"))
+    rows = table(spark, d, D).filter(F.col("text").isNotNull()).select("doc_id", F.concat(F.lit("1. THE FIRST STORY\n\n"), F.regexp_replace("text", r"\n", "\n\n"), F.lit("\n\nThe man said that he had told them what was there then.\n\n")).alias("text"))
     return parse.facing_pages(rows, "doc_id", "text")
 
 

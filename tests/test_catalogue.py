@@ -38,4 +38,4 @@ def test_query_equals_its_sql(spark, duck, name):
 
 
 def test_every_query_without_sql_is_known():
-    assert set(QUERIES) - set(SQL) == {"pair_align_dp", "facing_pages", "story_pairs", "classifier_predictions", "classifier_scores"}
+    assert set(QUERIES) - set(SQL) == {"pair_align_dp", "story_pairs", "classifier_predictions", "classifier_scores"}

@@ -122,6 +122,22 @@ def test_overlaps_against_brute_force(spark):
     assert overlap.cross_split(g.limit(0), s).count() == 0
 
 
+def test_overlap_of_very_long_texts(spark, monkeypatch):
+    rng = random.Random(5)
+    text = "".join(rng.choice("aeiokmnpstwy") for _ in range(7000))
+    near = list(text)
+    for k in rng.sample(range(7000), 700):
+        near[k] = "z"
+    del near[100:200]
+    far = "".join(rng.choice("aeiokmnpstwy") for _ in range(7000))
+    gold = spark.createDataFrame([(1, text), (2, "atim nipaw"), (3, far[:3100])], "row_id int, text_cree string")
+    silver = spark.createDataFrame([(10, "".join(near)), (11, far), (12, "atim nipâw!"), (13, far[50:3050]), (14, text[:3000])], "row_id int, text_cree string")
+    expected = [(1, 10), (2, 12), (3, 13)]
+    assert rows(overlap.near_pairs(gold, silver).select("left_id", "right_id")) == expected
+    monkeypatch.setattr(overlap, "BLOCK_LETTERS", 8000)
+    assert rows(overlap.near_pairs(gold, silver).select("left_id", "right_id")) == expected
+
+
 def test_overlap_of_short_texts(spark):
     g = spark.createDataFrame([(1, "Nipiy"), (2, "kôna")], "row_id bigint, text_cree string")
     s = spark.createDataFrame([(10, "nipiy!"), (11, "KONA"), (12, "maskwa")], "row_id bigint, text_cree string")

@@ -314,3 +314,23 @@ def test_overlaps_without_a_common_word(spark):
     expected = sorted((i, j) for i, a in gold for j, b in silver if 100 * distance(x := fold(a), y := fold(b)) <= 15 * max(len(x), len(y)))
     assert len(expected) > 100
     assert rows(overlap.cross_split(g, s)) == expected
+
+
+def test_overlap_shuffles_no_block_twice(spark, monkeypatch):
+    sc = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        return sum(sc.statusStore().executorList(False).apply(i).totalShuffleWrite() for i in range(sc.statusStore().executorList(False).size()))
+
+    rng = random.Random(3)
+    gold = [(i, "".join(rng.choice("aeiokmnpstwy") for _ in range(rng.randint(150, 900)))) for i in range(60)]
+    silver = [(100 + i, "".join(rng.choice("aeiokmnpstwy") for _ in range(rng.randint(150, 900)))) for i in range(60)]
+    silver += [(1000 + i, t[:70] + "z" + t[72:]) for i, t in gold[::2]]
+    g, s = (spark.createDataFrame(x, "row_id bigint, text_cree string") for x in (gold, silver))
+    moved = [shuffled()]
+    for block in (50_000, 5):
+        monkeypatch.setattr(overlap, "BLOCK", block)
+        assert rows(overlap.cross_split(g, s)) == [(i, 1000 + i) for i in range(0, 60, 2)]
+        moved.append(shuffled())
+    assert moved[2] - moved[1] < 2 * (moved[1] - moved[0])

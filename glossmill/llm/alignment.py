@@ -26,7 +26,7 @@ from glossmill.session import cut, written
 MAX_DICTIONARY = 100_000  # dictionary rows; a resource of fixed size, held by every worker
 EPSILON, NULL_COST, ROUNDS = 0.08, 0.36, 40
 MASS, COSINE = 0.2, 0.3  # least transported mass and cosine of a link
-LONG = 1024  # rows of a paragraph beyond which its transport is not held as one matrix
+LONG = 1024  # rows of a paragraph beyond which its transport is not held as one matrix; the links are the same
 
 # English words without content of their own.
 STOP = frozenset("the a an of to it its someone something s he she they his her their and so that but because while although until then than this there here is was were be been one's as or not".split())
@@ -172,10 +172,13 @@ def cosines(left: list[dict[str, float]], right: list[dict[str, float]]) -> list
 
 
 def transport(cosines: np.ndarray) -> np.ndarray:
-    """Entropic transport plans of a stack of cosine matrices (k, n, m), each with a null row and a null column that take up what has no partner."""
+    """Entropic transport plans of a stack of cosine matrices (k, n, m), each with a null row and a null column that take up what has no partner.
+
+    Cosines below that of a link count as 0, as they do for :func:`sparse_links`, so both give the same links.
+    """
     k, n, m = cosines.shape
     cost = np.full((k, n + 1, m + 1), NULL_COST)
-    cost[:, :n, :m] = 1.0 - cosines
+    cost[:, :n, :m] = 1.0 - np.where(cosines >= COSINE, cosines, 0.0)
     cost[:, n, m] = 0.0
     kernel = np.exp(-cost / EPSILON)
     a, b = np.ones((k, n + 1)), np.ones((k, m + 1))
@@ -246,10 +249,10 @@ def _features(shared):
             for side, unit in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
                 v = vector(unit, lexicon.english if side else lexicon.cree, idf, rare)
                 order = sorted(v, key=lambda f: (-idf.get(f, rare), f))  # one order for all texts, rare features first
-                w = np.array([v[f] for f in order])
-                names.append(order)
-                weights.append(w)
-                rest.append(np.sqrt(np.cumsum((w**2)[::-1])[::-1]))
+                norms = dict(zip(order, np.sqrt(np.cumsum(np.array([v[f] for f in order])[::-1] ** 2)[::-1]), strict=True))
+                names.append(list(v))
+                weights.append(list(v.values()))
+                rest.append([norms[f] for f in v])
             lists = [pa.array(names, pa.list_(pa.string())), *(pa.array(x, pa.list_(pa.float64())) for x in (weights, rest))]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), *lists], names=["node", "p", "sid", "side", "names", "weights", "rest"])
 
@@ -261,8 +264,10 @@ def _kernel(batches):
         xn, xw, yn, yw = (batch.column(k).to_pylist() for k in range(5, 9))
         cos = []
         for a, u, b, v in zip(xn, xw, yn, yw, strict=True):
-            other = dict(zip(b, v, strict=True))
-            cos.append(sum(w * other.get(f, 0.0) for f, w in zip(a, u, strict=True)))
+            other, c = dict(zip(b, v, strict=True)), 0.0
+            for f, w in zip(a, u, strict=True):  # added in the order of cosines(), so that a cosine is the same number
+                c += w * other.get(f, 0.0)
+            cos.append(c)
         yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(5)), pa.array(cos, pa.float64())], names=["p", "x", "y", "i", "j", "cosine"])
 
 
@@ -270,7 +275,7 @@ def sparse_links(rows: DataFrame, shared) -> DataFrame:
     """Links of very long paragraphs, whose partners may stand anywhere in them.
 
     Pairs with the least cosine of a link are found by a join on features, pruned by residual norms.
-    All other pairs have the kernel of cosine 0, which needs only sums over the paragraph, so Sinkhorn
+    All other pairs have the kernel of cosine 0, here as in :func:`transport`, which needs only sums over the paragraph, so Sinkhorn
     scaling runs over the found pairs alone. Texts without such a pair share one scaling.
     """
     cells = rows.distinct().mapInArrow(_units, "p bigint, sid bigint, side int, unit string").distinct()

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -213,6 +215,16 @@ def test_distant_partners_in_a_very_long_paragraph(spark):
     assert {(2, (i + 3) % 9, i) for i in range(9) if i != 4} == {x for x in got if x[0] == 2}
 
 
+def test_links_do_not_depend_on_the_size_of_a_paragraph(spark, monkeypatch):
+    rng, c = random.Random(7), list(WORDS)
+    said = lambda words: " ".join(rng.choice(words) for _ in range(rng.randint(1, 4)))
+    data = [(9 * p + i, p, i, said(c), said(list(WORDS.values())), "s", 0) for p in range(300) for i in range(4 + p % 5)]
+    df = spark.createDataFrame(data, SENTENCES)
+    small = sorted(map(tuple, alignment.misaligned(df, dictionary(spark)).collect()))
+    monkeypatch.setattr(alignment, "LONG", 0)
+    assert len(small) > 300 and sorted(map(tuple, alignment.misaligned(df, dictionary(spark)).collect())) == small
+
+
 def test_transport_moves_all_mass_of_a_clear_match():
     import numpy as np
 
